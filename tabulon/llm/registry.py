@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "sstable")
+MODULES = ("packing", "secrets", "exact_dedup", "sstable")
 
 
 def queries() -> dict:
