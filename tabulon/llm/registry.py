@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "quality", "secrets", "exact_dedup", "tiff", "prefix_bpe", "language_id", "sstable", "ngram_join")
+MODULES = ("packing", "quality", "secrets", "exact_dedup", "tiff", "prefix_bpe", "html_extract", "language_id", "sstable", "ngram_join")
 
 
 def queries() -> dict:
