@@ -47,7 +47,7 @@ WORDS = re.compile(r"[^\W\d_]+")
 #: Word ends, as the models see them.
 EDGE = "\x02"
 LONGEST = 4096  # characters scored at once; a longer word is scored in stretches of that length
-CACHED = 200_000
+CACHED = 500_000
 
 
 @dataclass(frozen=True)
@@ -70,10 +70,9 @@ def hashes(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 class Model:
-    """One language. words: word -> count."""
+    """One language's discounted counts: for each order, n-gram -> (share left after the discount) and context -> weight of the lower orders."""
 
-    def __init__(self, words: dict[str, int], order: int, symbols: int):
-        self.order = order
+    def __init__(self, words: dict[str, int], order: int):
         grams: list[dict[str, float]] = [Counter() for _ in range(order + 1)]
         for word, count in words.items():
             text = EDGE + word + EDGE
@@ -83,81 +82,79 @@ class Model:
         # Below the highest order an n-gram counts once for each character seen before it;
         # those that begin a word have none before, and keep their counts.
         for n in range(order - 1, 0, -1):
-            more = Counter(g[1:] for g in grams[n + 1])
-            for g, c in more.items():
+            for g, c in Counter(g[1:] for g in grams[n + 1]).items():
                 if not g.startswith(EDGE) or n == 1:
                     grams[n][g] = c
-        base = -math.log(symbols)
-        tables: list[tuple] = []
-        lower: dict[str, float] = {}
-        for n in range(1, order + 1):
-            counts = grams[n]
+        self.shares, self.weights = [], []
+        for counts in grams[1:]:
             once, twice = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
             discount = min(0.95, max(0.1, once / (once + 2 * twice) if once + twice else 0.5))
             total, kinds = Counter(), Counter()
             for g, c in counts.items():
                 total[g[:-1]] += c
                 kinds[g[:-1]] += 1
-            weight = {h: discount * kinds[h] / total[h] for h in total}
-            prob = {}
-            for g, c in counts.items():
-                below = lower.get(g[1:]) if n > 1 else 1 / symbols
-                if below is None:  # its lower orders back off
-                    below = self._back(g[1:], tables, 1 / symbols)
-                prob[g] = (c - discount) / total[g[:-1]] + weight[g[:-1]] * below
-            tables.append((prob, weight))
-            lower = prob
-        self.base = base
-        self.grams, self.weights = [], []
-        for n, (prob, weight) in enumerate(tables, 1):
-            self.grams.append(self._arrays(prob, n))
-            self.weights.append(self._arrays(weight, n - 1) if n > 1 else math.log(weight.get("", 1.0)))
-
-    @staticmethod
-    def _back(gram: str, tables: list[tuple], floor: float) -> float:
-        n, factor = len(gram), 1.0
-        while n:
-            prob, weight = tables[n - 1]
-            if gram in prob:
-                return factor * prob[gram]
-            factor *= weight.get(gram[:-1], 1.0)
-            gram, n = gram[1:], n - 1
-        return factor * floor
+            self.shares.append({g: (c - discount) / total[g[:-1]] for g, c in counts.items()})
+            self.weights.append({h: discount * kinds[h] / total[h] for h in total})
+
+
+class Tables:
+    """All languages' models, finished: for each order the hashes of every language's n-grams
+    in one sorted array, beside it each language's log-probability (interpolated, backed off
+    where the language lacks the n-gram), and likewise contexts with back-off weights."""
+
+    def __init__(self, models: list[Model], order: int, symbols: int):
+        self.order, n_models = order, len(models)
+        lower = {"": 0}
+        values = np.full((1, n_models), 1 / symbols)
+        self.grams, self.contexts = [], []
+        for n in range(order):
+            contexts = {h: k for k, h in enumerate(sorted({h for m in models for h in m.weights[n]}))}
+            weight = np.ones((len(contexts), n_models))
+            grams = {g: k for k, g in enumerate(sorted({g for m in models for g in m.shares[n]}))}
+            share = np.zeros((len(grams), n_models))
+            for k, m in enumerate(models):
+                weight[[contexts[h] for h in m.weights[n]], k] = list(m.weights[n].values())
+                share[[grams[g] for g in m.shares[n]], k] = list(m.shares[n].values())
+            values = share + weight[[contexts[g[:-1]] for g in grams]] * values[[lower[g[1:]] for g in grams]] if grams else np.zeros((0, n_models))
+            lower = grams
+            self.contexts.append(self._sorted(contexts, weight, n))
+            self.grams.append(self._sorted(grams, values, n + 1))
+        self.unknown = self.contexts[0][1][0] - math.log(symbols) if len(self.contexts[0][1]) else np.full(n_models, -math.log(symbols))
 
     @staticmethod
-    def _arrays(values: dict[str, float], n: int) -> tuple[np.ndarray, np.ndarray]:
-        codes = np.frombuffer("".join(values).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, n) if values else np.zeros((0, n), np.uint64)
-        key = np.zeros(len(codes), np.uint64)
-        for k in range(n):
-            key = (key ^ codes[:, k]) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        key ^= np.uint64(n)
+    def _sorted(names: dict[str, int], values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if not n:
+            return np.zeros(len(names), np.uint64), np.log(values)
+        codes = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        key = hashes(codes, n)[::n] if len(codes) else np.zeros(0, np.uint64)
         order = np.argsort(key)
-        return key[order], np.log(np.fromiter(values.values(), float, len(values)))[order]
+        return key[order], np.log(values)[order]
 
     @staticmethod
-    def _find(arrays: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = arrays
-        if not len(keys):
-            return np.zeros(len(key), bool), np.zeros(len(key))
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        return keys[at] == key, values[at]
-
-    def score(self, codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Log-probability of each code, given those before it down to its word's begin."""
-        n = len(codes)
-        place = np.arange(n) - begins
-        out = np.full(n, self.base + self.weights[0])
-        found, value = self._find(self.grams[0], hashes(codes, 1))
-        out = np.where(found, value, out)
-        for k in range(2, self.order + 1):
-            if n < k:
-                break
-            can = np.flatnonzero(place[k - 1 :] >= k - 1) + k - 1
-            key = hashes(codes, k)[can - k + 1]
-            found, value = self._find(self.grams[k - 1], key)
-            known, weight = self._find(self.weights[k - 1], hashes(codes, k - 1)[can - k + 1])
-            out[can] = np.where(found, value, out[can] + np.where(known, weight, 0.0))
+    def _find(table: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which keys are known, their rows)"""
+        if not len(table[0]):
+            return np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+        at = np.minimum(np.searchsorted(table[0], key), len(table[0]) - 1)
+        return table[0][at] == key, at
+
+    def score(self, codes: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Log-probabilities of each code, given those before it in its word; place: how many those are."""
+        out = np.zeros((len(codes), len(self.unknown)))
+        todo = np.arange(len(codes))
+        for n in range(self.order, 0, -1):
+            can = todo[place[todo] >= n - 1]
+            if not len(can):
+                continue
+            found, at = self._find(self.grams[n - 1], hashes(codes, n)[can - n + 1])
+            out[can[found]] += self.grams[n - 1][1][at[found]]
+            left = can[~found]
+            if n > 1 and len(left):
+                found, at = self._find(self.contexts[n - 1], hashes(codes, n - 1)[left - n + 1])
+                out[left[found]] += self.contexts[n - 1][1][at[found]]
+            elif len(left):
+                out[left] += self.unknown
+            todo = np.concatenate([left, todo[place[todo] < n - 1]])
         return out
 
 
@@ -167,7 +164,7 @@ class Identifier:
     def __init__(self, settings: Settings, counts: dict[str, dict[str, int]]):
         self.settings, self.names = settings, sorted(counts)
         symbols = len({c for words in counts.values() for w in words for c in w}) + 2
-        self.models = [Model(counts[n], settings.order, symbols) for n in self.names]
+        self.tables = Tables([Model(counts[n], settings.order) for n in self.names], settings.order, symbols)
         self.limits = np.full(len(self.names), np.inf)
         self.cache: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.names)))
@@ -181,13 +178,10 @@ class Identifier:
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
         sizes = np.fromiter((len(w) + 2 for w in words), int, len(words))
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        begins = np.repeat(starts, sizes)
-        out = np.empty((len(words), len(self.names)))
-        for k, model in enumerate(self.models):
-            each = model.score(codes, begins)
-            each[starts] = 0  # the edge before a word is given
-            out[:, k] = np.add.reduceat(each, starts)
-        return out
+        place = np.arange(len(codes)) - np.repeat(starts, sizes)
+        each = self.tables.score(codes, place)
+        each[starts] = 0  # the edge before a word is given
+        return np.add.reduceat(each, starts, axis=0)
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         """Row numbers of the words' cached scores."""
