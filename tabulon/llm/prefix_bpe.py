@@ -31,6 +31,8 @@ from tabulon.llm.tokens import LITTLE, encoder
 
 #: Entries that a worker's dictionary may hold before it starts anew.
 CACHED = 400_000
+#: Bytes of the longest match whose prefixes are stored for others to use.
+SHARED = 48
 #: Unicode white space, as the pattern's \s means it.
 SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -41,28 +43,75 @@ class PrefixBpe:
         self.tokens = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.known: dict[bytes, int] = {}
         #: Tokens that merging can reach, by their bytes. The others stand only for a whole match.
-        self.usable = {b: i for b, i in ranks.items() if self.merged(b) == [i]}
-
-    def merged(self, data: bytes) -> list[int]:
-        """The encoding by merging, for short strings."""
+        self.usable: dict[bytes, int] = {}
+        halves: dict[bytes, tuple[bytes, bytes]] = {}
+        for b, i in ranks.items():
+            steps: list[tuple[bytes, bytes]] = []
+            if self.merged(b, steps) == [i]:
+                self.usable[b] = i
+                if steps:
+                    halves[b] = steps[-1]
+        #: A token's parts at either end, each with the rank of the part it goes into.
+        self.heads = {i: self._ends(b, halves, 0) for b, i in self.usable.items()}
+        self.tails = {i: self._ends(b, halves, 1) for b, i in self.usable.items()}
+        self.ends: dict[bytes, tuple[int, ...]] = {}
+        self.longer: dict[bytes, set[int]] = {}
+        for b in self.usable:
+            if len(b) > 4:
+                self.longer.setdefault(b[-4:], set()).add(len(b))
+
+    def _ends(self, token: bytes, halves: dict, side: int) -> list[tuple[bytes, int]]:
+        out, into = [], 1 << 60
+        while True:
+            out.append((token, into))
+            if token not in halves:
+                return out
+            into, token = self.ranks[token], halves[token][side]
+
+    def merged(self, data: bytes, steps: list | None = None) -> list[int]:
+        """The encoding by merging, for short strings. steps: gets the pairs merged, in order."""
         parts = [data[k : k + 1] for k in range(len(data))]
         while len(parts) > 1:
             best, at = min(((self.ranks.get(a + b, 1 << 60), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False))), default=(1 << 60, 0))
             if best == 1 << 60:
                 break
+            if steps is not None:
+                steps.append((parts[at], parts[at + 1]))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
     def follows(self, left: int, right: int) -> bool:
-        """Does the pair encode to itself?"""
+        """Does the pair encode to itself? It does unless some part at the end of the left token
+        merges with one at the head of the right before either goes into a larger part. Of equal
+        ranks the one further left merges first."""
         known = self.pairs.get((left, right))
         if known is None:
             if len(self.pairs) >= 4 * CACHED:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+            rank, heads, known = self.ranks.get, self.heads[right], True
+            for a, a_into in self.tails[left]:
+                for b, b_into in heads:
+                    crossing = rank(a + b)
+                    if crossing is not None and crossing < a_into and crossing <= b_into:
+                        known = False
+                        break
+                if not known:
+                    break
+            self.pairs[left, right] = known
         return known
 
+    def _sizes(self, end: bytes) -> tuple[int, ...]:
+        """Lengths of the tokens that can end in these last (at most four) bytes, longest first."""
+        if len(self.ends) > CACHED:
+            self.ends.clear()
+        own = {k for k in range(1, len(end) + 1) if end[-k:] in self.usable}
+        if len(end) == 4:
+            own |= self.longer.get(end, set())
+        self.ends[end] = tuple(sorted(own, reverse=True))
+        return self.ends[end]
+
     def last(self, data: bytes, stop: int, table: list[int]) -> int:
         """The last token of data[:stop]; table[i]: that of data[:i], for all i < stop."""
         usable, pairs = self.usable.get, self.pairs.get
@@ -93,7 +142,38 @@ class PrefixBpe:
     def piece(self, data: bytes) -> list[int]:
         """A match's ids: a token of just these bytes comes first."""
         whole = self.ranks.get(data)
-        return [whole] if whole is not None else self.walk(self.prefixes(data))
+        if whole is not None:
+            return [whole]
+        return self.shared(data) if len(data) <= SHARED else self.walk(self.prefixes(data))
+
+    def shared(self, data: bytes) -> list[int]:
+        """As walk(prefixes(data)), with one table for the prefixes of all matches: a prefix's last token doesn't depend on what follows."""
+        known, usable, pairs, tokens, ends = self.known, self.usable.get, self.pairs.get, self.tokens, self.ends
+        if len(known) > 2 * CACHED:
+            known.clear()
+        stop = len(data)
+        while stop and data[:stop] not in known:
+            stop -= 1
+        while stop < len(data):
+            stop += 1
+            end = data[stop - 4 : stop] if stop > 4 else data[:stop]
+            for size in ends.get(end) or self._sizes(end):
+                start = stop - size
+                token = usable(data[start:stop]) if start >= 0 else None
+                if token is not None:
+                    if not start:
+                        break
+                    before = known[data[:start]]
+                    ok = pairs((before, token))
+                    if ok or ok is None and self.follows(before, token):
+                        break
+            known[data[:stop]] = token
+        out = []
+        while stop:
+            token = known[data[:stop]]
+            out.append(token)
+            stop -= len(tokens[token])
+        return out[::-1]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
