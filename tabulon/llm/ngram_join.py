@@ -245,7 +245,8 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     wanted = near.join(sizes, "label").join(classes.drop("bands"), "node").select(F.col("rep_id"), "node", "copies", "label", "blocks")
     wanted = written(wanted, "wanted")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    units = _blocks(_gram_rows(texts.join(wanted, F.col("id").eqNullSafe(F.col("rep_id"))), n))
+    # Merged at every size: which texts are wanted grows with them.
+    units = _blocks(_gram_rows(texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("rep_id"))), n))
     verified = written(_verify(units.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j"), threshold), "verified")
 
     sums = verified.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"), F.sum("class_links").alias("class_links"))
