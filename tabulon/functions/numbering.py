@@ -31,7 +31,7 @@ def a1_position(name: Column) -> Column:
     """struct(col, row) of a cell name, either with $."""
     plain = F.upper(F.regexp_replace(name, "\\$", ""))
     letters, digits = F.regexp_extract(plain, "^([A-Z]{1,3})[0-9]+$", 1), F.regexp_extract(plain, "^[A-Z]{1,3}([0-9]+)$", 1)
-    number = F.aggregate(F.split(letters, "(?!^)"), F.lit(0), lambda a, c: a * 26 + F.ascii(c) - 64)
+    number = F.aggregate(F.split(letters, "(?!^)(?!$)"), F.lit(0), lambda a, c: a * 26 + F.ascii(c) - 64)
     return F.when(digits != "", F.struct((number - 1).alias("col"), (digits.cast("int") - 1).alias("row")))
 
 
@@ -48,7 +48,7 @@ def from_roman(text: Column) -> Column:
     digits = {"M": 1000, "D": 500, "C": 100, "L": 50, "X": 10, "V": 5, "I": 1}
     up = F.upper(F.trim(text))
     value = lambda c: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in digits.items() for x in kv)), c), F.lit(0))
-    chars = F.split(up, "(?!^)")
+    chars = F.split(up, "(?!^)(?!$)")
     sums = F.aggregate(F.reverse(chars), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("most")), lambda a, c: F.struct(F.when(value(c) < a["most"], a["sum"] - value(c)).otherwise(a["sum"] + value(c)).alias("sum"), F.greatest(a["most"], value(c)).alias("most")), lambda a: a["sum"])
     return F.when(up.rlike("^M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$") & (up != ""), sums)
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -33,13 +34,13 @@ def square(rows: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(rows)), lambda r: r["values"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def determinant(matrices: pd.Series) -> pd.Series:
     """Of arrays of arrays; null unless square."""
     return pd.Series([_square(m, np.linalg.det) for m in matrices], dtype=object).astype(float)
 
 
-@F.pandas_udf("array<array<double>>")
+@F.pandas_udf(ArrayType(ArrayType(DoubleType())))
 def inverse(matrices: pd.Series) -> pd.Series:
     """Null if there is none."""
     return pd.Series([_square(m, lambda x: np.linalg.inv(x).tolist()) for m in matrices], dtype=object)
