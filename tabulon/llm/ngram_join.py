@@ -253,7 +253,8 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     groups = components(verified.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     least = groups.join(classes.select("node", "rep_id"), "node").groupBy("label").agg(F.min("rep_id").alias("class_id"))
     of_class = classes.drop("bands").join(sums, "node", "left").join(groups.join(least, "label").drop("label"), "node", "left")
-    found = rows.select("id", "node").join(of_class, "node", "left")
+    # Written, so the join is between two plain exchanges and a class of very many copies is split.
+    found = rows.select("id", "node").join(written(of_class, "of-class"), "node", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     return found.select(
         "id",
