@@ -253,3 +253,75 @@ def test_traces(spark):
 
     left = emit.balanced(trace.parsed(df.filter("seq not in (4, 5)"))).first()
     assert (left.depth_left, left.lowest) == (0, 0)
+
+
+def writer_stream(version: int = 0x101, password: str = "", order: str = "<") -> bytes:
+    """A pool of two styles, two paragraphs (one a heading) and one inside a section; statistics."""
+    key = cipher.key_of(password) if password else b""
+    rec = lambda kind, body: struct.pack(order + "I", ord(kind) | (len(body) + 4) << 8) + body
+    pack = lambda form, *v: struct.pack(order + form, *v)
+
+    def text_of(t: str) -> bytes:
+        raw = cipher.apply(t.encode("cp1252"), key) if key else t.encode("cp1252")
+        return pack("H", len(raw)) + raw
+
+    pool = rec("!", b"\x01" + pack("H", 2) + b"".join(pack("HH", k, len(s)) + s.encode() for k, s in enumerate(("Heading", "Body"))))
+    node = lambda style, t, more=b"": rec("T", b"\x02" + pack("H", style) + text_of(t) + more)
+    content = lambda *nodes: rec("N", b"\x04" + pack("HH", 0, len(nodes)) + b"".join(nodes))
+    section = rec("I", b"junk" + content(node(1, "inner")))
+    stats = rec("d", b"\x0c" + pack("HHHHI", 0, 0, 0, 1, 3))
+    body = pool + content(node(0, "Title", rec("3", b"\x01\x02")), node(1, "née"), section) + stats
+    date, time = 20150929, 17231800
+    check = cipher.apply(cipher.stamp(date, time), key) if key else bytes(16)
+    head = (b"SW" if order == "<" else b"WS") + b"5HDR\0\x2e" + pack("HHII", version, 8 if key else 0, 0, 0) + bytes(8) + check + b"\x01\0" + pack("II", date, time)
+    return head.ljust(8 + 0x2E, b"\0") + body
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("password", ["", "geheim"])
+def test_text_documents(order, password):
+    from tabulon.sources import writer
+
+    doc = writer.read_text(writer_stream(password=password, order=order), password)
+    assert doc.error is None and doc.password_fits and doc.encrypted == bool(password)
+    assert [(p.style, p.level, p.text, p.inside) for p in doc.paragraphs] == [("Heading", 2, "Title", ""), ("Body", None, "née", ""), ("Body", None, "inner", "section")]
+    assert doc.paragraphs[1].src_pos == [0, 1, 2] and doc.statistics["paragraphs"] == 3 and doc.records == ["pool", "content", "statistics"]
+    if password:
+        assert writer.read_text(writer_stream(password=password), "").paragraphs[0].text == "Title"  # the key is guessed
+        assert not writer.read_text(writer_stream(password=password), "wrong").password_fits
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.data())
+def test_broken_texts_never_raise(data):
+    from tabulon.sources import writer
+
+    raw = bytearray(writer_stream())
+    for _ in range(data.draw(st.integers(1, 6))):
+        raw[data.draw(st.integers(0, len(raw) - 1))] = data.draw(st.integers(0, 255))
+    writer.read_text(bytes(raw[: data.draw(st.integers(0, len(raw)))]))
+
+
+def test_paragraph_table(spark, tmp_path):
+    (tmp_path / "a.sdw").write_bytes(compound_file({"StarWriterDocument": writer_stream()}))
+    files = office.files(spark, str(tmp_path))
+    assert [r.text for r in office.read_paragraphs(files).orderBy("ord").collect()] == ["Title", "née", "inner"]
+    assert tuple(office.read_documents(files).first())[1:] == ("text", "excellent", "ok")
+
+
+def test_nested_calls_come_back():
+    from tabulon.sources import properties
+
+    calls = [("startDocument", {}), ("openCell", {"a": "1", "list": [{"x": "é"}, {}]}), ("#text", {"text": "T"}), ("closeCell", None)]
+    assert list(properties.decode(properties.encode(calls))) == calls
+    assert properties.encode([("#text", {"text": ""})]) == b""
+    with pytest.raises(BadBytes):
+        list(properties.decode(b"Q"))
+
+
+def test_languages(spark):
+    from tabulon.sources import languages
+
+    df = spark.createDataFrame([(1033,), (1031,), (1,)], "language_id int")
+    assert {r.language_id: (r.language, r.country) for r in languages.with_language(df).collect()} == {1033: ("en", "US"), 1031: ("de", "DE"), 1: (None, None)}
+    assert office.picture_type(b"BM....") == "bmp" and office.picture_type(b"?") == "unknown"
