@@ -533,3 +533,54 @@ def event_trace(spark, d):
 @register("SELECT p_partkey, 'Numbering' || CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS VARCHAR) AS numbering_name FROM part")
 def style_names(spark, d):
     return emit.numbering_names(read(spark, d, "part").select("p_partkey", "p_brand"), "p_brand").select("p_partkey", "numbering_name")
+
+
+# Bytes and markup.
+
+
+@register("SELECT c_custkey, c_name || ' é' AS text FROM customer")
+def charset_decode(spark, d):
+    from tabulon.sources.charset import decoded
+
+    data = F.encode(F.concat("c_name", F.lit(" é")), "UTF-8")
+    return read(spark, d, "customer").select("c_custkey", decoded(data, F.lit(76)).alias("text"))
+
+
+@register("SELECT c_custkey, c_name, TRUE AS changed FROM customer")
+def cipher_roundtrip(spark, d):
+    from tabulon.sources.cipher import enciphered
+
+    once = enciphered(F.encode("c_name", "UTF-8"), F.lit("password"))
+    rows = read(spark, d, "customer").select("c_custkey", F.col("c_name").alias("plain"), once.alias("once"))
+    return rows.select("c_custkey", F.decode(enciphered("once", F.lit("password")), "UTF-8").alias("c_name"), (F.encode("plain", "UTF-8") != c("once")).alias("changed"))
+
+
+@register("""SELECT p_partkey, '<math xmlns="http://www.w3.org/1998/Math/MathML"><mfrac><mn>' || CAST(p_size AS VARCHAR) || '</mn><msqrt><mn>' || CAST(p_partkey AS VARCHAR) || '</mn></msqrt></mfrac></math>' AS mathml FROM part""")
+def math_markup(spark, d):
+    from tabulon.functions.markup import to_mathml
+
+    return read(spark, d, "part").select("p_partkey", to_mathml(F.concat(c("p_size").cast("string"), F.lit(" over sqrt "), c("p_partkey").cast("string"))).alias("mathml"))
+
+
+@register("""SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]+', '@', 'g') AS simple FROM documents""")
+def simplified_text(spark, d):
+    return read(spark, d, "documents").select("doc_id", numbering.simplified(c("text")).alias("simple"))
+
+
+@register("SELECT p_partkey, '#' || lpad(lower(to_hex((p_partkey * 7919) % 16777216)), 6, '0') AS colour, 1440 * p_size / 72.0 AS twips FROM part")
+def colours_and_units(spark, d):
+    return read(spark, d, "part").select("p_partkey", numbering.colour_text(c("p_partkey") * 7919 % 16777216).alias("colour"), numbering.scaled(c("p_size").cast("double"), "point", "twip").alias("twips"))
+
+
+@register("SELECT p_partkey, gcd(p_size, 36) AS g, lcm(p_size, 12) AS l, p_size // 1 AS i, CASE WHEN p_size % 2 = 0 THEN p_size ELSE p_size + 1 END AS ev FROM part WHERE p_size > 0")
+def fn_whole_numbers(spark, d):
+    made = {"g": "GCD([p_size]; 36)", "l": "LCM([p_size]; 12)", "i": "INT([p_size])", "ev": "EVEN([p_size])"}
+    return read(spark, d, "part").filter("p_size > 0").select("p_partkey", *(compile_text(t).cast("long").alias(k) for k, t in made.items()))
+
+
+@register("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def running_totals(spark, d):
+    """The batch form of the streamed subtotals."""
+    from tabulon.streaming.ingest import running_totals as totals
+
+    return totals(read(spark, d, "events"), "ts", ["event_type"], "value").select(c("window.start").alias("start"), "event_type", "n", r("total").alias("total"))

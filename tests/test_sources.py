@@ -325,3 +325,33 @@ def test_languages(spark):
     df = spark.createDataFrame([(1033,), (1031,), (1,)], "language_id int")
     assert {r.language_id: (r.language, r.country) for r in languages.with_language(df).collect()} == {1033: ("en", "US"), 1031: ("de", "DE"), 1: (None, None)}
     assert office.picture_type(b"BM....") == "bmp" and office.picture_type(b"?") == "unknown"
+
+
+def drawing_stream() -> bytes:
+    """A master page, and a page of a rectangle and a group that holds a circle."""
+    rec = lambda magic, version, body: magic + struct.pack("<HI", version, len(body) + 10) + body
+    obj = lambda number, box, more=b"": rec(b"DrOb", 5, b"SVDr" + struct.pack("<H", number) + struct.pack("<I", 22) + struct.pack("<iiiiH", *box, 3) + more)
+    size = lambda w, h: struct.pack("<I", 60) + b"JoeM" + struct.pack("<I", 38) + struct.pack("<iiiiiiH", w, h, 0, 0, 0, 0, 0)
+    page = size(2100, 2970) + obj(3, (1, 2, 30, 40)) + obj(1, (0, 0, 9, 9), obj(4, (5, 5, 8, 8))) + b"DrXX"
+    return rec(b"DrMd", 11, b"pool" + rec(b"DrMP", 11, size(2100, 2970) + bytes(8)) + rec(b"DrPg", 11, page))
+
+
+def test_drawings(spark, tmp_path):
+    from tabulon.sources import drawing
+
+    rows = list(drawing.read_drawing(drawing_stream()))
+    assert [(r["page"], r["master"], r["kind"], r["parent"]) for r in rows] == [(0, True, "sheet", None), (1, False, "sheet", None), (1, False, "rectangle", None), (1, False, "group", None), (1, False, "ellipse", 1)]
+    assert (rows[1]["x1"], rows[1]["y1"]) == (2100, 2970) and (rows[2]["x0"], rows[2]["y1"], rows[2]["layer"]) == (1, 40, 3)
+    (tmp_path / "a.sda").write_bytes(compound_file({"StarDrawDocument3": drawing_stream()}))
+    assert office.read_shapes(office.files(spark, str(tmp_path))).filter("kind = 'ellipse'").count() == 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.data())
+def test_broken_drawings_never_raise(data):
+    from tabulon.sources import drawing
+
+    raw = bytearray(drawing_stream())
+    for _ in range(data.draw(st.integers(1, 6))):
+        raw[data.draw(st.integers(0, len(raw) - 1))] = data.draw(st.integers(0, 255))
+    list(drawing.read_drawing(bytes(raw[: data.draw(st.integers(0, len(raw)))])))
