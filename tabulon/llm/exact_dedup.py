@@ -99,7 +99,8 @@ def deduplicate(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", d
         return (keyed["__dd_key"] == other["__dd_key"]) & keyed["__dd_id"].eqNullSafe(other["__dd_id"])
 
     lost, twice = by_id.filter("not kept"), by_id.filter("kept and n > 1")
-    out = keyed.join(lost, same(lost), "left_anti")
+    # Merged at every size: what is lost grows with the rows.
+    out = keyed.join(lost.hint("merge"), same(lost), "left_anti")
     if not twice.isEmpty():
         out = out.join(twice, same(twice), "left_anti").unionByName(keyed.join(twice, same(twice), "left_semi").dropDuplicates(["__dd_id", "__dd_key"]))
     return out.drop("__dd_id", "__dd_key")

@@ -272,7 +272,8 @@ def drop_near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "d
     lost = found.filter(~F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("__nj_id")).distinct()
     again = found.filter(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias("__nj_id"))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__nj_id"))
-    out = df.join(lost, same, "left_anti")
+    # Merged at every size: what is lost grows with the rows.
+    out = df.join(lost.hint("merge"), same, "left_anti")
     if not again.isEmpty():
         out = out.join(again, same, "left_anti").unionByName(df.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
     return out
