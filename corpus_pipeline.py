@@ -41,9 +41,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays, and those without a secret stay as they are."""
     found = scan_secrets(docs)
-    text = redacted(F.col("text"), F.col("__ss_all"))
-    hit = F.size("__ss_all") > 0
-    return found.withColumns({"n_chars": F.when(hit, F.length(text).cast("long")).otherwise(F.col("n_chars")), "text": text}).select(docs.columns)
+    clean = found.withColumn("text", redacted(F.col("text"), F.col("__ss_all")))
+    return clean.withColumn("n_chars", F.when(F.size("__ss_all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
