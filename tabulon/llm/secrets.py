@@ -83,20 +83,21 @@ def p_value(z: Column) -> Column:
 def _tests(codes: Column, k: int) -> Column:
     """The battery's p-value for symbol numbers 0..k-1."""
     n = F.size(codes).cast("double")
+    share = F.try_divide  # null, not an error, for runs too short to test
     squares = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0.0), lambda a, j: a + F.pow(F.size(F.filter(codes, lambda c: c == j)).cast("double"), 2))
-    chi, df = F.lit(float(k)) / n * squares - n, float(k - 1)
+    chi, df = share(F.lit(float(k)) * squares, n) - n, float(k - 1)
     z_chi = (F.pow(F.greatest(chi, F.lit(1e-9)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
     pairs = F.arrays_zip(F.slice(codes, F.lit(1), F.size(codes) - 1).alias("a"), F.slice(codes, F.lit(2), F.size(codes) - 1).alias("b"))
     high = F.size(F.filter(codes, lambda c: c >= k // 2)).cast("double")
     runs = F.size(F.filter(pairs, lambda x: (x["a"] >= k // 2) != (x["b"] >= k // 2))) + F.lit(1.0)
-    mean = F.lit(2.0) * high * (n - high) / n + 1
-    var = (mean - 1) * (mean - 2) / (n - 1)
+    mean = share(F.lit(2.0) * high * (n - high), n) + 1
+    var = share((mean - 1) * (mean - 2), n - 1)
     z_runs = F.when(var > 0, (runs - mean) / F.sqrt(F.greatest(var, F.lit(1e-9)))).otherwise(F.lit(30.0))
-    total = F.aggregate(codes, F.lit(0.0), lambda a, c: a + c)
-    spread = F.aggregate(codes, F.lit(0.0), lambda a, c: a + F.pow(c - total / n, 2))
-    cross = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + (x["a"] - total / n) * (x["b"] - total / n))
-    z_serial = F.when(spread > 0, (cross / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(F.lit(30.0))
-    return F.least(F.lit(1.0), 3 * F.least(p_value(z_chi), p_value(z_runs), p_value(z_serial)))
+    middle = share(F.aggregate(codes, F.lit(0.0), lambda a, c: a + c), n)
+    spread = F.aggregate(codes, F.lit(0.0), lambda a, c: a + F.pow(c - middle, 2))
+    cross = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + (x["a"] - middle) * (x["b"] - middle))
+    z_serial = F.when(spread > 0, (cross / F.greatest(spread, F.lit(1e-9)) + share(F.lit(1.0), n)) * F.sqrt(n)).otherwise(F.lit(30.0))
+    return F.coalesce(F.least(F.lit(1.0), 3 * F.least(p_value(z_chi), p_value(z_runs), p_value(z_serial))), F.lit(0.0))
 
 
 def encoding_of(run: Column) -> Column:
@@ -115,9 +116,9 @@ def battery(run: Column) -> Column:
 
     def read(name: str) -> Column:
         alphabet = ENCODINGS[name][1]
-        body = F.rtrim(F.lit("="), run) if name in ("base32", "base64") else run
+        body = F.rtrim(run, F.lit("=")) if name in ("base32", "base64") else run
         body = F.lower(body) if name == "hex" else F.translate(body, "-_", "+/") if name == "base64" else body
-        codes = F.transform(F.split(body, "(?!^)"), lambda c: F.instr(F.lit(alphabet), c) - 1)
+        codes = F.transform(F.split(body, "(?!^)(?!$)"), lambda c: F.instr(F.lit(alphabet), c) - 1)
         p = _tests(codes, len(alphabet))
         place = F.least(F.lit(GRID), F.floor(-PER_DECADE * F.log10(F.greatest(p, F.lit(1e-300))))).cast("int")
         return F.struct(F.lit(name).alias("encoding"), F.size(codes).alias("symbols"), place.alias("place"))
