@@ -43,6 +43,8 @@ from pyspark.sql import functions as F
 from tabulon.llm.runtime import table
 
 LEAST_PAGES, SHARE, KEPT, SALTS = 20, 0.85, 2048, 16
+#: Where more of an article's texts than this recur, the host's pages are copies.
+COPIES = 0.8
 
 # Kinds of elements and names.
 DROPPED = frozenset("head script style noscript template iframe object embed svg canvas math form button input select textarea option datalist nav aside footer menu dialog audio video map".split())
@@ -57,9 +59,10 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select", "datalist"}, "body": set()}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|masthead|header|footer|notice|notification|alert|cookies?|consent|gdpr|pop-?up|modal|overlay|comments?|comment-?list|disqus|respond|replies|share|sharing|social|related|recommend\w*|newsletter|subscri\w+|sign-?up|login|search|widget|pagination|pager|toolbar|skip-?link)(?:$|[-_\s])",
+    r"(?:^|[-_\s])(ads?|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|masthead|header|footer|notice|notification|alert|cookies?|consent|gdpr|pop-?up|modal|overlay|comments?|comment-?list|disqus|respond|replies|share|sharing|social|related|recommend\w*|newsletter|subscri\w+|sign-?up|login|search|widget|pagination|pager|toolbar|skip-?link)(?=$|[-_\s])",
     re.I,
 )
+NOT_MAIN = re.compile(r"(?:^|[-_\s])(?:comments?|reply|ads?|advert\w*|sponsor\w*|promo\w*|related|teaser)(?:$|[-_\s])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
@@ -70,10 +73,10 @@ SPACE = re.compile(r"\s+")
 class Node:
     """A block element. kids: nodes and texts, in page order."""
 
-    __slots__ = ("tag", "label", "dropped", "kids")
+    __slots__ = ("tag", "label", "dropped", "by_name", "kids")
 
-    def __init__(self, tag: str, label: str, dropped: bool):
-        self.tag, self.label, self.dropped, self.kids = tag, label, dropped, []
+    def __init__(self, tag: str, label: str, dropped: bool, by_name: bool = False):
+        self.tag, self.label, self.dropped, self.by_name, self.kids = tag, label, dropped, by_name, []
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -84,17 +87,19 @@ def attributes(raw: str) -> dict[str, str]:
 
 
 def made(tag: str, raw: str, inside_article: bool) -> Node:
-    label, dropped = tag, tag in DROPPED or tag == "header" and not inside_article
+    """A name alone drops an element only while no article or main part begins in it, and a header's name not within an article."""
+    label, dropped, by_name = tag, tag in DROPPED or tag == "header" and not inside_article, False
     if raw and not raw.isspace() and raw != "/":
         a = attributes(raw)
         names = f"{a.get('id', '')} {a.get('class', '')}"
         label = f"{tag}.{' '.join(sorted(a['class'].split()))}" if a.get("class") else tag
-        if tag not in ("html", "body", "article", "main"):
-            dropped = dropped or bool(NAMES.search(names))
-        elif tag in ("article", "main"):
-            dropped = bool(re.search(r"(?:^|[-_\s])(?:comments?|reply|ads?|advert\w*|sponsor\w*|promo\w*|related|teaser)(?:$|[-_\s])", names, re.I))
+        if tag in ("article", "main"):
+            dropped = bool(NOT_MAIN.search(names))
+        elif tag not in ("html", "body"):
+            found = {m[1].lower() for m in NAMES.finditer(names)}
+            by_name = bool(found - {"header", "masthead"} if inside_article else found)
         dropped = dropped or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or bool(HIDDEN.search(a.get("style", "")))
-    return Node(tag, label, dropped)
+    return Node(tag, label, dropped or by_name, by_name and not dropped)
 
 
 def tree(html: str) -> Node:
@@ -157,6 +162,9 @@ def tree(html: str) -> Node:
                     if tag not in ("tr", "tbody", "tfoot"):
                         break
             node = made(tag, m[3], any(s.tag in ("article", "main") for s in stack))
+            if tag in ("article", "main") and not node.dropped:
+                for above in stack:
+                    above.dropped = above.dropped and not above.by_name
             stack[-1].kids.append(node)
             if tag not in VOID:
                 stack.append(node)
@@ -170,7 +178,7 @@ def tree(html: str) -> Node:
     return root
 
 
-# Wrappers: [label, pages, {text number: pages}, children]. A page's own is a wrapper of one page.
+# Wrappers: [label, pages, {text number: pages}, children, texts on all pages]. A page's own is a wrapper of one page.
 
 
 def number(text: str) -> int:
@@ -190,9 +198,10 @@ def folded(node: Node) -> list:
             kids[-1] = merged(kids[-1], own)
             kids[-1][1] = 1
             kids[-1][2] = dict.fromkeys(kids[-1][2], 1)
+            kids[-1][4] = len(kids[-1][2])
         else:
             kids.append(own)
-    return [node.label, 1, dict(texts), kids]
+    return [node.label, 1, dict(texts), kids, len(texts)]
 
 
 def matching(a: list[list], b: list[list]) -> tuple[int, list[tuple[int, int]]]:
@@ -235,18 +244,18 @@ def merged(a: list, b: list) -> list:
         if x < len(a[3]):
             kids.append(merged(a[3][x], b[3][y]))
         i, j = x + 1, y + 1
-    return [a[0], a[1] + b[1], texts, kids]
+    return [a[0], a[1] + b[1], texts, kids, a[4] + b[4]]
 
 
 def slim(wrapper: list) -> list:
     """Without texts that most of its pages lack."""
-    label, pages, texts, kids = wrapper
-    return [label, pages, {t: n for t, n in texts.items() if 2 * n >= pages}, [slim(k) for k in kids]]
+    label, pages, texts, kids, total = wrapper
+    return [label, pages, {t: n for t, n in texts.items() if 2 * n >= pages}, [slim(k) for k in kids], total]
 
 
 def template(wrapper: list) -> list | None:
     """[label, template texts, children]; None if there is none below."""
-    label, pages, texts, kids = wrapper
+    label, pages, texts, kids, _ = wrapper
     common = {t for t, n in texts.items() if n >= SHARE * pages} if pages >= LEAST_PAGES else set()
     below = [template(k) for k in kids]
     return [label, common, [k or [w[0], set(), []] for k, w in zip(below, kids, strict=True)]] if common or any(below) else None
@@ -259,14 +268,14 @@ def constant(wrapper: list) -> list | None:
         return None
 
     def sizes(w: list) -> tuple[int, int]:
-        """(texts that recur, texts counted) in articles and main parts"""
-        own = (sum(n >= SHARE * w[1] for n in w[2].values()), len(w[2]))
+        """(places of texts that recur, places of all texts)"""
+        own = (sum(n for n in w[2].values() if n >= SHARE * w[1]), w[4])
         return tuple(map(sum, zip(own, *(sizes(k) for k in w[3]), strict=True)))
 
     def spared(w: list, t: list) -> list:
         recur, every = sizes(w)
-        if w[0].split(".")[0] in ("article", "main", "body", "") and recur * 2 > every:
-            return [t[0], set(), [spared(k, x) for k, x in zip(w[3], t[2], strict=False)]] if w[0] in ("", "html") else [t[0], set(), []]
+        if w[0].split(".")[0] in ("article", "main", "body") and recur > COPIES * every:
+            return [t[0], set(), []]
         return [t[0], t[1], [spared(k, x) for k, x in zip(w[3], t[2], strict=False)]]
 
     return spared(wrapper, found)
@@ -284,7 +293,7 @@ def content(page: Node, host: list | None) -> str:
                 runs[-1].append(node)
             else:
                 runs.append([node])
-        shape = lambda t: [t[0], 0, {}, [shape(k) for k in t[2]]]
+        shape = lambda t: [t[0], 0, {}, [shape(k) for k in t[2]], 0]
         own = [folded(r[0]) for r in runs]
         for i, j in matching(own, [shape(k) for k in kids])[1]:
             for node in runs[i]:

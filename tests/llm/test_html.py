@@ -17,6 +17,7 @@ def text(html):
         ("", ""), ("plain  text\n", "plain text"), ("<p>a<p>b", "a\n\nb"), ("<div><p>un<b>closed", "unclosed"), ("a < b &lt;c&gt; &eacute;", "a < b <c> é"), ("<script>if(a<b){'</p>'}</script>ok", "ok"), ("<ul><li>one<li>two</ul>", "one\n\ntwo"), ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n\n2\n\n3"),
         ("<article><header><h1>T</h1></header><p>x<!-- <p>no</p> --> <i>y</i><br>z</p></article>after", "T\n\nx y z"), ("<body><header>Site</header><nav>menu</nav><main><p>A</p><div class='user-comments'><p>c</p></div></main><aside>s</aside><form>f</form><footer>x</footer>", "A"),
         ("<article><p>keep <span class='ad'>buy</span>this</p><div role='complementary'>no</div><p hidden>no</p><div style='display: none'>no</div></article>", "keep this"), ("<div class='cookie-notice'>no</div><div id='sidebar'>no</div><p>yes</p>", "yes"), ("<article><p>a</p></article><article class='comment'><p>b</p></article>", "a"), ("<!-- open <p>x", ""),
+        ("<div class='ad-free'><article><div class='entry-header'><h1>T</h1></div><p>b</p><div class='ad'>x</div></article><p>y</p></div>", "T\n\nb"), ("<div id='comments'><article class='comment'><p>c</p></article></div><div class='nav-wrap'><main><p>m</p></main></div>", "m"),
     ],
 )
 def test_pages(html, wanted):
