@@ -72,7 +72,7 @@ EPOCH = "1899-12-30"
 def serial_to_date(serial: Column, strict: bool = False) -> Column:
     """The day of a serial number, counted from 1899-12-30. Null beyond 10000 years either way.
 
-    strict: as the reference files' readers give it: serial 1 is 1900-01-01, and a day's last
+    strict: as readers of legacy files give it: serial 1 is 1900-01-01, and a day's last
     four tenths count to the next day."""
     known = F.abs(serial) <= 3650000
     if strict:

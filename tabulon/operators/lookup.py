@@ -25,35 +25,50 @@ def vlookup(df: DataFrame, probe: str, lookup: DataFrame, key: str, values: list
 
 
 def asof(df: DataFrame, probe: str, lookup: DataFrame, key: str, values: list[str], by: list[str] | None = None) -> DataFrame:
-    """An as-of join without by: the lookup's keys are ranges [key, next key), and probes find theirs by bins of the key's own quantiles.
+    """df with values of the last lookup row whose key is not above the probe (of equal keys, the least values).
 
-    With by, the union of both sides is sorted within each group and the last row of the lookup carried on."""
-    by = by or []
+    Both sides are sorted together within each group and the last lookup row is carried on. Without by, keys
+    are dealt to BINS quantile bins, each of which begins with the last key before it, and a bin's probes to
+    SALTS shares, so one frequent probe does not land in one task."""
+    known = lookup.filter(F.col(key).isNotNull())
     if by:
-        left = df.select(*by, F.col(probe).alias("__at"), F.lit(1).alias("__side"), F.struct(*df.columns).alias("__row"), F.lit(None).cast(lookup.select(F.struct(*values).alias("s")).schema["s"].dataType).alias("__v"))
-        right = lookup.select(*by, F.col(key).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(df.select(F.struct(*df.columns).alias("s")).schema["s"].dataType).alias("__row"), F.struct(*values).alias("__v"))
-        window = Window.partitionBy(*by).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
-        both = left.unionByName(right).withColumn("__v", F.last("__v", True).over(window)).filter("__side = 1")
-        return both.select("__row.*", *(F.col(f"__v.{v}").alias(v) for v in values))
-    edges = [r[0] for r in lookup.select(F.explode(F.percentile_approx(key, [k / 64 for k in range(1, 64)], 10_000))).distinct().orderBy("col").collect() if r[0] is not None]
-    bins = lambda c: F.lit(0) if not edges else F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= c))  # noqa: E731  at most 63 edges
-    last = lookup.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(F.struct(*values)).alias("__v")).withColumn("__bin", bins(F.col("__key")))
-    # The largest key under each bin stands for probes below the bin's first own key.
-    heads = last.groupBy("__bin").agg(F.max_by(F.struct("__key", "__v"), "__key").alias("h"))
-    before = heads.select((F.col("__bin") + 1).alias("__from"), "h").collect()
-    carried, rows = None, {r["__from"]: r["h"] for r in before}
-    out = []
-    for k in range(len(edges) + 2):
-        carried = rows.get(k, carried)
-        if carried is not None:
-            out.append((k, carried))
-    schema = last.select(F.col("__bin"), F.struct("__key", "__v").alias("h")).schema
-    extra = lookup.sparkSession.createDataFrame(out, schema).select("h.*", "__bin")
-    ranged = last.unionByName(extra).withColumn("__next", F.lead("__key").over(Window.partitionBy("__bin").orderBy("__key")))
-    at = F.col(probe)
-    given = df.withColumn("__own", bins(at))
-    hit = (F.col("__own") == F.col("__bin")) & (at >= F.col("__key")) & (F.col("__next").isNull() | (at < F.col("__next")))
-    return given.join(ranged, hit, "left").select(*df.columns, *(F.col(f"__v.{v}").alias(v) for v in values))
+        return _carried(df, F.col(probe), known, F.col(key), values, by)
+    quantiles = known.select(F.explode(F.percentile_approx(key, [k / BINS for k in range(1, BINS)], 10 * BINS)).alias("e"))
+    edges = sorted({r["e"] for r in quantiles.collect() if r["e"] is not None})  # at most BINS
+    right = known.withColumn("__bin", _bin(F.col(key), edges)).groupBy("__bin", F.col(key).alias("__key")).agg(F.min(F.struct(*values)).alias("__v")).select("__bin", "__key", *(F.col(f"__v.{v}").alias(v) for v in values))
+    last = {r["__bin"]: r["h"] for r in right.groupBy("__bin").agg(F.max_by(F.struct("__key", *values), "__key").alias("h")).collect()}
+    carried, head = [], None
+    for k in range(len(edges) + 1):
+        if head is not None:
+            carried.append((k, *head))
+        head = last.get(k, head)
+    right = right.unionByName(lookup.sparkSession.createDataFrame(carried, right.schema))
+    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = df.withColumns({"__bin": _bin(F.col(probe), edges), "__salt": F.floor(F.rand(1) * SALTS).cast("int")})
+    return _carried(left, F.col(probe), right, F.col("__key"), values, ["__bin", "__salt"]).drop("__bin", "__salt")
+
+
+BINS, SALTS = 64, 8
+
+
+def _bin(x: Column, edges: list) -> Column:
+    """How many edges are at or below x, by halving."""
+    def part(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(x >= F.lit(edges[mid]), part(mid + 1, high)).otherwise(part(low, mid))
+
+    return part(0, len(edges))
+
+
+def _carried(left: DataFrame, at: Column, right: DataFrame, key: Column, values: list[str], by: list[str]) -> DataFrame:
+    kind = lambda d, c: d.select(F.struct(*c).alias("s")).schema["s"].dataType
+    a = left.select(*by, at.alias("__at"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(kind(right, values)).alias("__v"))
+    b = right.groupBy(*by, key.alias("__at")).agg(F.min(F.struct(*values)).alias("__v")).select(*by, "__at", F.lit(0).alias("__side"), F.lit(None).cast(kind(left, left.columns)).alias("__row"), "__v")
+    window = Window.partitionBy(*by).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b).withColumn("__v", F.last("__v", True).over(window)).filter("__side = 1")
+    return both.select("__row.*", *(F.col(f"__v.{v}").alias(v) for v in values))
 
 
 def lookup(df: DataFrame, probe: str, table: DataFrame, key: str, value: str) -> DataFrame:
