@@ -21,11 +21,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    near = both.join(least, "a")
     if large:
-        out = near.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # The minima are written, so the join is between two plain exchanges and a node of very many edges is split.
+        out = both.join(written(least, "least"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        out = near.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        out = both.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return out.filter("a <> b").distinct()
 
 
