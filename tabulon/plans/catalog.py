@@ -584,3 +584,33 @@ def running_totals(spark, d):
     from tabulon.streaming.ingest import running_totals as totals
 
     return totals(read(spark, d, "events"), "ts", ["event_type"], "value").select(c("window.start").alias("start"), "event_type", "n", r("total").alias("total"))
+
+
+# Charts and names.
+
+
+def _chart(spark, d) -> DataFrame:
+    return read(spark, d, "orders").select(c("o_orderstatus").alias("series"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("ord"), c("o_totalprice").alias("value")).groupBy("series", "ord").agg(F.sum("value").alias("value"))
+
+
+@register("""SELECT series, count(value) AS n, round(avg(value), 2) AS mean, round(regr_slope(value, ord + 1.0), 2) AS slope, round(avg(value) - stddev_pop(value), 2) AS low, round(avg(value) + stddev_pop(value), 2) AS high
+FROM (SELECT o_orderstatus AS series, year(o_orderdate) * 12 + month(o_orderdate) AS ord, sum(o_totalprice) AS value FROM orders GROUP BY 1, 2) GROUP BY series""")
+def chart_statistics(spark, d):
+    from tabulon.operators import charts
+
+    return charts.statistics(_chart(spark, d), []).select("series", "n", *(r(k, 2).alias(k) for k in ("mean", "slope", "low", "high")))
+
+
+@register("""SELECT series, ord, round(high - value, 2) AS low, round(high, 2) AS high FROM (SELECT *, sum(value) OVER (PARTITION BY ord ORDER BY series) AS high FROM (SELECT o_orderstatus AS series, year(o_orderdate) * 12 + month(o_orderdate) AS ord, sum(o_totalprice) AS value FROM orders GROUP BY 1, 2))""")
+def chart_stacked(spark, d):
+    from tabulon.operators import charts
+
+    return charts.stacked(_chart(spark, d), []).select("series", "ord", r("low", 2).alias("low"), r("high", 2).alias("high"))
+
+
+@register('SELECT n_nationkey * 2 + n_regionkey AS "more" FROM nation')
+def named_formula(spark, d):
+    from tabulon.operators.names import Workbook
+
+    book = Workbook(read(spark, d, "nation"), formulas={"twice": "[n_nationkey] * 2", "more": "[twice] + [n_regionkey]"})
+    return book.cells.select(book.formula("more").alias("more"))

@@ -101,3 +101,41 @@ def test_csv_and_svg(spark):
     shapes = spark.createDataFrame([(1, 0, "rectangle", [(1.0, 2.0), (4.0, 6.0)], None, None), (1, 1, "text", [(0.0, 0.0)], None, "a<b")], "page int, o int, kind string, points array<struct<x:double,y:double>>, style string, text string")
     out = emit.svg_pages(shapes, ["page"], "o").first().svg
     assert '<rect x="1.0" y="2.0" width="3.0" height="4.0"' in out and ">a&lt;b</text>" in out
+
+
+def test_charts(spark):
+    from pyspark.sql import Window
+
+    from tabulon.operators import charts
+
+    grid = [["", "s1", "s2"], ["a", 1.0, 10.0], ["b", 3.0, None], ["c", 5.0, 30.0]]
+    cells = spark.createDataFrame([("d", r, c, v if isinstance(v, float) else None, v if isinstance(v, str) else None) for r, row in enumerate(grid) for c, v in enumerate(row)], "doc string, row int, col int, value double, text string")
+    data = charts.chart_data(cells, ["doc"]).cache()
+    assert sorted((r.series, r.category, r.ord, r.value) for r in data.filter("series = 's1'").collect()) == [("s1", "a", 0, 1.0), ("s1", "b", 1, 3.0), ("s1", "c", 2, 5.0)]
+    s = {r.series: r for r in charts.statistics(data, ["doc"], "percent", 10).collect()}
+    assert (s["s1"].n, s["s1"].mean, s["s1"].slope, s["s1"].low) == (3, 3.0, 2.0, pytest.approx(2.7)) and s["s2"].n == 2
+    assert {(r.series, r.category): r.position for r in charts.on_axis(data, "sequence-skip-empty", ["doc", "series"]).collect()}["s2", "c"] == 2
+    top = {(r.series, r.ord): (r.low, r.high) for r in charts.stacked(data.filter("ord <> 1"), ["doc"], percent=True).collect()}
+    assert top["s2", 0] == (pytest.approx(100 / 11), pytest.approx(100))
+    fit = data.filter("series = 's1'").withColumn("f", charts.fitted("linear", F.col("value"), F.col("ord") + 1.0, Window.partitionBy("doc"))).collect()
+    assert all(r.f == pytest.approx(r.value) for r in fit)
+    with pytest.raises(ValueError, match="axis"):
+        charts.on_axis(data, "round", [])
+
+
+def test_names(spark):
+    from tabulon.operators import names
+
+    cells = spark.createDataFrame([(0, 0, 0, "a"), (0, 0, 1, "b"), (0, 1, 0, "1"), (0, 1, 1, "2")], "sheet_id int, row int, col int, text string")
+    book = names.Workbook(cells, [Range("Sales", 0, 0, 0, 1, 1)], {"twice": "[a] * 2", "more": "[twice] + [b]", "loop": "[loop] + 1"})
+    assert book.table("SALES").select(book.formula("More")).first()[0] == 4
+    assert book.views("v_") == ["v_sales"] and spark.table("v_sales").count() == 1
+    with pytest.raises(ValueError, match="itself"):
+        book.formula("loop")
+    with pytest.raises(KeyError):
+        book.table("none")
+    refs = spark.createDataFrame([("d", 1, 0, 2, 3), ("d", 0, 0, 0, 0)], "doc_id string, sheet_id int, own_sheet_id int, col int, row int")
+    sheets = spark.createDataFrame([("d", 0, "One"), ("d", 1, "Two")], "doc_id string, sheet_id int, name string")
+    found = names.with_sheet_names(refs, sheets).select(names.reference_text(F.col("col"), F.col("row"), F.col("sheet_name")).alias("t")).collect()
+    assert sorted(r.t for r in found) == ["[.A1]", "[Two.C4]"]
+    assert names.token_properties([{"type": "index", "value": 1}]) == "[]"
