@@ -88,7 +88,7 @@ class PrefixBpe:
         ranks the one further left merges first."""
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) >= 4 * CACHED:
+            if len(self.pairs) >= CACHED:
                 self.pairs.clear()
             rank, heads, known = self.ranks.get, self.heads[right], True
             for a, a_into in self.tails[left]:
