@@ -47,14 +47,14 @@ WORDS = re.compile(r"[^\W\d_]+")
 #: Word ends, as the models see them.
 EDGE = "\x02"
 LONGEST = 4096  # characters scored at once; a longer word is scored in stretches of that length
-CACHED = 500_000
+CACHED = 300_000
 
 
 @dataclass(frozen=True)
 class Settings:
     order: int = 4
     sample: int = 1000
-    words: int = 60_000
+    words: int = 30_000
     keep: float = 0.999
     slack: float = 1.0
     short: float = 4.0
