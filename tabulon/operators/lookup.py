@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.formula import render
 from tabulon.functions.numbering import a1_name, a1_position
+from tabulon.operators.ranges import halved
 
 
 def vlookup(df: DataFrame, probe: str, lookup: DataFrame, key: str, values: list[str], approximate: bool = False) -> DataFrame:
@@ -35,7 +36,7 @@ def asof(df: DataFrame, probe: str, lookup: DataFrame, key: str, values: list[st
         return _carried(df, F.col(probe), known, F.col(key), values, by)
     quantiles = known.select(F.explode(F.percentile_approx(key, [k / BINS for k in range(1, BINS)], 10 * BINS)).alias("e"))
     edges = sorted({r["e"] for r in quantiles.collect() if r["e"] is not None})  # at most BINS
-    right = known.withColumn("__bin", _bin(F.col(key), edges)).groupBy("__bin", F.col(key).alias("__key")).agg(F.min(F.struct(*values)).alias("__v")).select("__bin", "__key", *(F.col(f"__v.{v}").alias(v) for v in values))
+    right = known.withColumn("__bin", halved(F.col(key), edges)).groupBy("__bin", F.col(key).alias("__key")).agg(F.min(F.struct(*values)).alias("__v")).select("__bin", "__key", *(F.col(f"__v.{v}").alias(v) for v in values))
     last = {r["__bin"]: r["h"] for r in right.groupBy("__bin").agg(F.max_by(F.struct("__key", *values), "__key").alias("h")).collect()}
     carried, head = [], None
     for k in range(len(edges) + 1):
@@ -44,24 +45,13 @@ def asof(df: DataFrame, probe: str, lookup: DataFrame, key: str, values: list[st
         head = last.get(k, head)
     right = right.unionByName(lookup.sparkSession.createDataFrame(carried, right.schema))
     right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    left = df.withColumns({"__bin": _bin(F.col(probe), edges), "__salt": F.floor(F.rand(1) * SALTS).cast("int")})
+    left = df.withColumns({"__bin": halved(F.col(probe), edges), "__salt": F.floor(F.rand(1) * SALTS).cast("int")})
     return _carried(left, F.col(probe), right, F.col("__key"), values, ["__bin", "__salt"]).drop("__bin", "__salt")
 
 
 BINS, SALTS = 64, 8
 
 
-def _bin(x: Column, edges: list) -> Column:
-    """How many edges are at or below x, by halving."""
-    def part(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(x >= F.lit(edges[mid]), part(mid + 1, high)).otherwise(part(low, mid))
-
-    return part(0, len(edges))
-
-
 def _carried(left: DataFrame, at: Column, right: DataFrame, key: Column, values: list[str], by: list[str]) -> DataFrame:
     kind = lambda d, c: d.select(F.struct(*c).alias("s")).schema["s"].dataType
     a = left.select(*by, at.alias("__at"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(kind(right, values)).alias("__v"))

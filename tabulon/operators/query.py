@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.formula import FUNCTIONS, compile_text
+from tabulon.operators.ranges import row_numbers
 from tabulon.plans.specs import Dimension, Entry, Pilot, Query, Rule, Sort, Subtotal
 
 
@@ -196,7 +197,7 @@ def consolidate(areas: list[DataFrame], function: str, label: str | None = None,
         stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), areas)
         columns = [c for c in stacked.columns if c != label]
         return stacked.groupBy(label).agg(*(aggregate(function, c).alias(c) for c in columns))
-    numbered = [a.select(F.row_number().over(Window.orderBy(*order)).alias("position"), *columns) for a in areas]
+    numbered = [row_numbers(a, order, "position").select("position", *columns) for a in areas]
     return reduce(DataFrame.unionByName, numbered).groupBy("position").agg(*(aggregate(function, c).alias(c) for c in columns))
 
 
@@ -247,7 +248,7 @@ def imported(spark, statement: str, trusted: bool = False) -> DataFrame:
 
 def merge_rows(df: DataFrame, order: list[str], selections: list[tuple[int, int]] | None = None, when: Column | None = None) -> DataFrame:
     """Records by number in an order (from 1): those in the selections that meet the condition, with record_number."""
-    numbered = df.withColumn("record_number", F.row_number().over(Window.orderBy(*order)))
+    numbered = row_numbers(df, order, "record_number")
     tests = [F.col("record_number").between(a, b) for a, b in selections or []]
     out = numbered.filter(reduce(Column.__or__, tests)) if tests else numbered
     return out if when is None else out.filter(when)

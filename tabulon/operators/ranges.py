@@ -13,11 +13,46 @@ from tabulon.plans.specs import Range
 MOST_COLUMNS, LAST_ROW = 256, 8191
 
 
+#: Values that the edges of row numbers' bins are drawn from, on average, and the bins.
+DRAWN, BINS = 8192, 64
+
+
+def row_numbers(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with the number of each row, from 1, in an order whose first column has no null; ties by the other columns.
+
+    No task numbers all rows: rows are dealt to bins by edges of the first column, drawn from its values by
+    their hash (a bounded number), numbered within each bin, and moved on by the rows of the bins before."""
+    first = F.col(order[0])
+    n = df.count()
+    drawn = df.filter(F.pmod(F.xxhash64(first), F.lit(max(1, n // DRAWN))) == 0).select(first.alias("v")).filter("v is not null").distinct().orderBy("v").collect()
+    edges = [drawn[k * len(drawn) // BINS]["v"] for k in range(1, BINS)] if len(drawn) >= BINS else []
+    binned = df.withColumn("__bin", halved(first, edges))
+    sizes = {r["__bin"]: r["n"] for r in binned.groupBy("__bin").agg(F.count(F.lit(1)).alias("n")).collect()} if edges else {}
+    before, total = [], 0
+    for k in range(len(edges) + 1):
+        before.append(total)
+        total += sizes.get(k, 0)
+    own = F.row_number().over(Window.partitionBy("__bin").orderBy(*order))
+    return binned.withColumn(name, own + F.element_at(F.array(*map(F.lit, before)), F.col("__bin") + 1)).drop("__bin")
+
+
+def halved(x: Column, edges: list) -> Column:
+    """How many ascending edges are at or below x; 0 for null."""
+
+    def part(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(x >= F.lit(edges[mid]), part(mid + 1, high)).otherwise(part(low, mid))
+
+    return part(0, len(edges))
+
+
 def to_cells(df: DataFrame, order: list[str], sheet: int = 0, columns: list[str] | None = None) -> DataFrame:
     """A wide table as cells: sheet_id, row, col, content_type, value, text. order: columns whose order rows are numbered by."""
     columns = columns or df.columns
     kinds = dict(df.dtypes)
-    numbered = df.withColumn("__row", F.row_number().over(Window.orderBy(*order)) - 1)
+    numbered = row_numbers(df, order, "__row").withColumn("__row", F.col("__row") - 1)
     cells = [F.struct(F.lit(k).alias("col"), F.col(c).try_cast("double").alias("value") if kinds[c] != "string" else F.lit(None).cast("double").alias("value"), F.col(c).cast("string").alias("text"), F.lit("TEXT" if kinds[c] == "string" else "NUMBER").alias("kind")) for k, c in enumerate(columns)]
     long = numbered.select(F.col("__row").alias("row"), F.explode(F.array(*cells)).alias("c"))
     kind = F.when(F.col("c.text").isNull(), "NONE").otherwise(F.col("c.kind"))

@@ -139,3 +139,12 @@ def test_names(spark):
     found = names.with_sheet_names(refs, sheets).select(names.reference_text(F.col("col"), F.col("row"), F.col("sheet_name")).alias("t")).collect()
     assert sorted(r.t for r in found) == ["[.A1]", "[Two.C4]"]
     assert names.token_properties([{"type": "index", "value": 1}]) == "[]"
+
+
+@pytest.mark.parametrize("bins", [64, 4])
+def test_row_numbers(spark, monkeypatch, bins):
+    monkeypatch.setattr(ranges, "BINS", bins)
+    df = spark.range(1000).select(F.concat(F.lit("k"), F.col("id") % 97).alias("k"), F.col("id").alias("i")).repartition(5)
+    rows = ranges.row_numbers(df, ["k", "i"], "n").collect()
+    assert [r.n for r in sorted(rows, key=lambda r: (r.k, r.i))] == list(range(1, 1001))
+    assert ranges.row_numbers(df.limit(0), ["k"], "n").count() == 0
