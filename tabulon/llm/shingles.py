@@ -5,8 +5,14 @@ A word is a run of ASCII letters and digits and of characters outside ASCII, in
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
+#: Characters hashed at once: the working arrays take some 50 bytes for each.
+AT_ONCE = 1 << 20
+BETWEEN = re.compile("[^A-Za-z0-9\\u0080-\\U0010ffff]")
+
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: A number of its own for each byte that words may have; 0 for the others.
@@ -55,7 +61,36 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
+def portions(texts: list[str]) -> list[list[str]]:
+    """texts in runs of at most AT_ONCE characters; a longer text is a run of its own."""
+    out, size = [], AT_ONCE
+    for t in texts:
+        if size + len(t) > AT_ONCE:
+            out.append([])
+            size = 0
+        out[-1].append(t)
+        size += len(t)
+    return out
+
+
+def long_words(text: str) -> np.ndarray:
+    """The word hashes of a text of any length, by stretches that end between words."""
+    out, at = [], 0
+    while at < len(text):
+        m = BETWEEN.search(text, at + AT_ONCE)
+        stop = m.end() if m else len(text)
+        out.append(word_hashes([text[at:stop]])[0])
+        at = stop
+    return np.concatenate(out)
+
+
 def ngram_sets(texts: list[str], n: int) -> list[np.ndarray]:
     """Each text's set of n-gram hashes, ascending."""
-    words, bounds = word_hashes(texts)
-    return [np.unique(ngram_hashes(words[a:b], n)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    out = []
+    for own in portions(texts):
+        if len(own[0]) > AT_ONCE:
+            out.append(np.unique(ngram_hashes(long_words(own[0]), n)))
+            continue
+        words, bounds = word_hashes(own)
+        out += [np.unique(ngram_hashes(words[a:b], n)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return out

@@ -115,6 +115,15 @@ def test_words_and_grams():
     assert (len(a), len(b), len(c)) == (2, 1, 0)
 
 
+def test_long_texts_are_hashed_alike(monkeypatch):
+    from tabulon.llm import shingles
+
+    texts = ["ab cd " * 50, "x" * 500 + " é y", "", "one two three four five six seven"]
+    whole = ngram_sets(texts, 5)
+    monkeypatch.setattr(shingles, "AT_ONCE", 64)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, ngram_sets(texts, 5), strict=True))
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(1000, k) for k in range(1001, 1400)] + [(k, k + 1) for k in range(2000, 2040)] + [(7, 7)]
