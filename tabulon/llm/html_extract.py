@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.runtime import table
+from tabulon.llm.runtime import table, written
 
 LEAST_PAGES, SHARE, KEPT, SALTS = 20, 0.85, 2048, 16
 #: Where more of an article's texts than this recur, the host's pages are copies.
@@ -397,7 +397,13 @@ def extract(df: DataFrame, html_col: str = "html", url_col: str = "url") -> Data
 
     df = df.drop("__hx_text")
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    given = df.withColumn("__hx_host", host).join(induce(df, html_col, url_col), "__hx_host", "left").drop("__hx_host")
+    # Written, so its size is known: hosts' templates are sent to all tasks if they are few, else pages are
+    # dealt by host and a host of very many pages is split. Without a template pages stay where they are.
+    templates = written(induce(df, html_col, url_col), "templates")
+    if templates.isEmpty():
+        given = df.withColumn("__hx_template", F.lit(None).cast("binary"))
+    else:
+        given = df.withColumn("__hx_host", host).join(templates, "__hx_host", "left").drop("__hx_host")
     at, template_at = given.columns.index(html_col), given.columns.index("__hx_template")
     names = [c for c in given.columns if c != "__hx_template"]
 
