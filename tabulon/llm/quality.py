@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm.runtime import table
-from tabulon.llm.shingles import BACK, BASE, mixed
+from tabulon.llm.shingles import BACK, BASE, mixed, portions
 
 BUCKETS, DIMENSIONS, NONZERO = 1 << 14, 32, 4
 SLICES, SALTS = 16, 32
@@ -110,7 +110,8 @@ def word_vectors(df: DataFrame, text_col: str = "text") -> np.ndarray:
         total = np.zeros(BUCKETS * DIMENSIONS)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
-                total += neighbours([t or "" for t in batch.column(0).slice(at, BATCH).to_pylist()], places, signs)
+                for texts in portions([t or "" for t in batch.column(0).slice(at, BATCH).to_pylist()]):
+                    total += neighbours(texts, places, signs)
         salt = TaskContext.get().partitionId() % SALTS
         parts = [x.astype(np.float32).tobytes() for x in np.split(total, SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int32()), pa.array(parts, pa.binary())], ["slice", "salt", "sums"])
@@ -143,6 +144,10 @@ def scaled(sums: np.ndarray) -> np.ndarray:
 
 def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
     """len(texts) x FEATURES"""
+    return np.concatenate([_pooled(own, vectors) for own in portions(texts)]) if texts else np.zeros((0, FEATURES))
+
+
+def _pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
     token, shape, owner = tokens(texts)
     out = np.zeros((len(texts), FEATURES))
     n = np.bincount(owner, minlength=len(texts))
