@@ -8,6 +8,7 @@ never a row at a time. Nulls and arguments outside a function's domain give null
 from __future__ import annotations
 
 import math
+import statistics
 from collections.abc import Callable
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 log_gamma = np.vectorize(lambda x: math.lgamma(x) if x > 0 else math.nan, otypes=[float])
 erf = np.vectorize(math.erf, otypes=[float])
 TINY, STEPS = 1e-300, 400
+NORMAL = statistics.NormalDist()
 
 
 def norm_cdf(x):
@@ -39,34 +41,56 @@ def inverse(cdf: Callable[[np.ndarray], np.ndarray], p: np.ndarray, low: float,
     return np.where((p > 0) & (p < 1), (a + b) / 2, np.nan)
 
 
+_quantile = np.vectorize(lambda p: NORMAL.inv_cdf(p) if 0 < p < 1 else math.nan, otypes=[float])
+
+
 def norm_inv(p):
-    p = np.asarray(p, float)
-    return inverse(norm_cdf, p, -40.0, 40.0)
+    return _quantile(np.asarray(p, float))
+
+
+def _series(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The sum of the lower incomplete gamma function, for x under a + 1. Ends once no term counts any more."""
+    term = total = 1 / a
+    for n in range(1, STEPS):
+        term = term * x / (a + n)
+        total = total + term
+        if not n % 8 and (term <= 1e-17 * total).all():
+            break
+    return total
+
+
+def _lentz(first: np.ndarray, step: Callable[[int], tuple], steps: int = STEPS) -> np.ndarray:
+    """A continued fraction 1 / (first + k1 / (b1 + k2 / (b2 + ...))); step(n): k and b of the nth part. Ends once no part counts any more."""
+    bound = lambda v: np.where(np.abs(v) < TINY, TINY, v)
+    c, d = np.full_like(first, 1 / TINY), 1 / bound(first)
+    h = d
+    for n in range(1, steps):
+        k, b = step(n)
+        d = 1 / bound(b + k * d)
+        c = bound(b + k / c)
+        h = h * d * c
+        if not n % 8 and (np.abs(d * c - 1) < 1e-15).all():
+            break
+    return h
 
 
 def gamma_p(a, x):
     """Regularised lower incomplete gamma function."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.maximum(np.asarray(x, float), 0))
+    shape, a, x = a.shape, np.atleast_1d(a), np.atleast_1d(x)
+    out = np.zeros(a.shape)
+    low, high = (x > 0) & (x < a + 1), x >= a + 1
     with np.errstate(all="ignore"):
-        front = np.exp(-x + a * np.log(np.maximum(x, TINY)) - log_gamma(a))
-        term = total = 1 / a
-        for n in range(1, STEPS):
-            term = term * x / (a + n)
-            total = total + term
-        series = total * front
-        b = x + 1 - a
-        c, d = np.full_like(b, 1 / TINY), 1 / np.where(b == 0, TINY, b)
-        h = d
-        for n in range(1, STEPS):
-            k = -n * (n - a)
-            b = b + 2
-            d = k * d + b
-            d = 1 / np.where(np.abs(d) < TINY, TINY, d)
-            c = b + k / c
-            c = np.where(np.abs(c) < TINY, TINY, c)
-            h = h * d * c
-        tail = 1 - front * h
-    return np.where(x <= 0, 0.0, np.where(x < a + 1, series, tail))
+        for own in (low, high):
+            u, v = a[own], x[own]
+            front = np.exp(-v + u * np.log(np.maximum(v, TINY)) - log_gamma(u))
+            if not own.any():
+                continue
+            if own is low:
+                out[own] = front * _series(u, v)
+            else:
+                out[own] = 1 - front * _lentz(v + 1 - u, lambda n, u=u, v=v: (-n * (n - u), v + 1 - u + 2 * n))
+    return out.reshape(shape)
 
 
 def beta_i(a, b, x):
@@ -74,22 +98,20 @@ def beta_i(a, b, x):
     a, b, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float), np.clip(np.asarray(x, float), 0, 1))
 
     def fraction(a, b, x):
-        c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
-        d = 1 / np.where(np.abs(d) < TINY, TINY, d)
-        h = d
-        for m in range(1, STEPS):
-            for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d = 1 + k * d
-                d = 1 / np.where(np.abs(d) < TINY, TINY, d)
-                c = 1 + k / c
-                c = np.where(np.abs(c) < TINY, TINY, c)
-                h = h * d * c
-        return h
+        def step(n: int) -> tuple:
+            m = n // 2
+            if n % 2:
+                return -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)), np.ones_like(x)
+            return m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), np.ones_like(x)
+
+        return _lentz(np.ones_like(x), step, 2 * STEPS)
 
     with np.errstate(all="ignore"):
         front = np.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * np.log(np.maximum(x, TINY)) + b * np.log(np.maximum(1 - x, TINY)))
         low = x < (a + 1) / (a + b + 2)
-        out = np.where(low, front * fraction(a, b, x) / a, 1 - front * fraction(b, a, 1 - x) / b)
+        u, v, w = np.where(low, a, b), np.where(low, b, a), np.where(low, x, 1 - x)
+        part = front * fraction(u, v, w) / u
+        out = np.where(low, part, 1 - part)
     return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out))
 
 
