@@ -43,7 +43,8 @@ ENCODINGS = {
 }
 #: Symbols from which prose letters' chi-squared lies 4 standard deviations above that of chance.
 LEAST = {"hex": 24, "base32": 32, "alnum": 26, "base64": 20}
-RUN = "[A-Za-z0-9+/_=-]{20,}"
+#: `=` only as padding at the end, so a run begins after `name=`.
+RUN = "[A-Za-z0-9+/_-]{20,}=*"
 FDR = 0.05
 GRID, PER_DECADE = 400, 20
 

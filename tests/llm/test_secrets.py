@@ -71,3 +71,16 @@ def test_redaction_and_edge_tables(spark):
 def test_native_plan(spark):
     plan = digest(scan_secrets(spark.createDataFrame([(1, "a")], "doc_id long, text string")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_keys_written_directly_after_a_name(spark):
+    rng = random.Random(12)
+    letters = string.ascii_letters + string.digits + "+/"
+    keys = ["".join(rng.choices(letters, k=46)) for _ in range(90)]
+    forms = ["aws_secret_access_key={}", "AccountKey={}==;EndpointSuffix=x", "see https://h.example.com/a?sig={}&sv=1"]
+    rows = [(k, forms[k % 3].format(key)) for k, key in enumerate(keys)]
+    found = digest(scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    wanted = {k: t.index(keys[k]) for k, t in rows}
+    whole = [r.doc_id for r in found if r.spans == f"random:{wanted[r.doc_id]}:{wanted[r.doc_id] + 46 + 2 * (r.doc_id % 3 == 1)}"]
+    for form in range(3):
+        assert len([k for k in whole if k % 3 == form]) >= 27
