@@ -17,8 +17,8 @@ letter are `und` and rejected.
 
 Models are fitted on a sample of labelled documents: for each language every document
 whose hash falls under a share that gives `sample` documents on average. The sample is
-gathered as counts of words per language and half, at most `words` distinct for each
-language on average (the most frequent, ties by the word). Everything else covers all rows and whole texts.
+gathered as counts of n-grams per language, of all words of its documents, so no language's
+rare words are lost to another's. Everything else covers all rows and whole texts.
 
 Word scores are cached in each worker (bounded): a text's sum is over its words' rows.
 
@@ -46,7 +46,7 @@ UND = "und"
 WORDS = re.compile(r"[^\W\d_]+")
 #: Word ends, as the models see them.
 EDGE = "\x02"
-LONGEST = 4096  # characters scored at once; a longer word is scored in stretches of that length
+LONGEST = 4096  # characters scored at once; a longer word is counted and scored in stretches of that length
 CACHED = 300_000
 
 
@@ -54,7 +54,6 @@ CACHED = 300_000
 class Settings:
     order: int = 4
     sample: int = 1000
-    words: int = 30_000
     keep: float = 0.999
     slack: float = 1.0
     short: float = 4.0
@@ -69,16 +68,32 @@ def hashes(codes: np.ndarray, n: int) -> np.ndarray:
     return out ^ np.uint64(n)
 
 
+def grams_of(words: dict[str, int], order: int) -> Counter:
+    """Counts of what ends at each character of the words: `order` characters, or all from the word's begin if those are fewer."""
+    grams: Counter = Counter()
+    for word, count in words.items():
+        text = EDGE + word + EDGE
+        for stop in range(2, len(text) + 1):
+            grams[text[max(0, stop - order) : stop]] += count
+    return grams
+
+
 class Model:
     """One language's discounted counts: for each order, n-gram -> (share left after the discount) and context -> weight of the lower orders."""
 
     def __init__(self, words: dict[str, int], order: int):
+        self._discount(grams_of(words, order), order)
+
+    @classmethod
+    def of_grams(cls, counted: dict[str, int], order: int) -> Model:
+        made = cls.__new__(cls)
+        made._discount(counted, order)
+        return made
+
+    def _discount(self, counted: dict[str, int], order: int) -> None:
         grams: list[dict[str, float]] = [Counter() for _ in range(order + 1)]
-        for word, count in words.items():
-            text = EDGE + word + EDGE
-            for stop in range(2, len(text) + 1):
-                own = text[max(0, stop - order) : stop]
-                grams[len(own)][own] += count
+        for g, c in counted.items():
+            grams[len(g)][g] = c
         # Below the highest order an n-gram counts once for each character seen before it;
         # those that begin a word have none before, and keep their counts.
         for n in range(order - 1, 0, -1):
@@ -159,12 +174,12 @@ class Tables:
 
 
 class Identifier:
-    """All languages' models and their limits."""
+    """All languages' models and their limits. counts: each language's n-grams."""
 
     def __init__(self, settings: Settings, counts: dict[str, dict[str, int]]):
         self.settings, self.names = settings, sorted(counts)
-        symbols = len({c for words in counts.values() for w in words for c in w}) + 2
-        self.tables = Tables([Model(counts[n], settings.order) for n in self.names], settings.order, symbols)
+        symbols = len({c for grams in counts.values() for g in grams for c in g} - {EDGE}) + 2
+        self.tables = Tables([Model.of_grams(counts[n], settings.order) for n in self.names], settings.order, symbols)
         self.limits = np.full(len(self.names), np.inf)
         self.cache: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.names)))
@@ -244,15 +259,22 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
         for batch in batches:
             for text, lang, p in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if p:
-                    found.setdefault(lang, Counter()).update(w[:64] for w in WORDS.findall(text.lower()))
+                    found.setdefault(lang, Counter()).update(w[k : k + LONGEST] for w in WORDS.findall(text.lower()) for k in range(0, len(w), LONGEST))
+            if sum(map(len, found.values())) > CACHED:
+                yield from counts_of(found)
+                found = {}
+        yield from counts_of(found)
+
+    def counts_of(found: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, words in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
+            grams = grams_of(words, settings.order)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
 
-    counted = drawn.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word", "lang").limit(settings.words * max(1, len(sizes))).collect()
+    counted = drawn.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {}
-    for r in top:
-        counts.setdefault(r["lang"], {})[r["word"]] = r["n"]
+    for batch in counted.toArrow().to_batches(10_000):
+        for lang, gram, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts.setdefault(lang, {})[gram] = n
     made = Identifier(settings, counts)
     if made.names:
         shared = labelled.sparkSession.sparkContext.broadcast(made)

@@ -138,3 +138,20 @@ def test_pooling_equals_plain_means():
             assert np.allclose(found[k, quality.DIMENSIONS : 2 * quality.DIMENSIONS], vectors[own].std(axis=0), atol=1e-3)
         else:
             assert not found[k].any()
+
+
+def test_all_words_of_a_language_are_counted(spark):
+    rng = random.Random(5)
+    # One language of many words, each often; one of few documents, each word once and a run of 6,000 letters
+    many = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(150_000)]
+    rows = [(k, " ".join(many[k * 1500 : k * 1500 + 1500] * 2), "aa") for k in range(100)]
+    rare = ["".join(rng.choices("клмнопрст", k=7)) for _ in range(12)]
+    run = "".join(rng.choices("一丁七万三上下不与且", k=6000))
+    rows += [(1000 + k, w, "bb") for k, w in enumerate(rare)] + [(2000 + k, run, "cc") for k in range(6)]
+    model = lid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.names == ["aa", "bb", "cc"]
+    assert model.identify(" ".join(rare))[0] == "bb"
+    grams = model.tables.grams[3][0]
+    wanted = {run[k : k + 4] for k in range(6000 - 3) if not 4093 <= k <= 4095}
+    keys = [lid.hashes(np.frombuffer(g.encode("utf-32-le"), np.uint32).astype(np.uint64), 4)[0] for g in wanted]
+    assert np.isin(np.array(keys), grams).all()
