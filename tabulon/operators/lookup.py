@@ -189,15 +189,21 @@ def goal_seek(value: Callable[[float], float], target: float, guess: float = 1.0
     return None if found != found else found
 
 
-def traced(references: DataFrame, start: DataFrame, forwards: bool = False, depth: int = 64) -> DataFrame:
-    """Detective: cells that start's cells depend on (or that depend on them), through others too. references: cell, refers."""
+def traced(references: DataFrame, start: DataFrame, forwards: bool = False, depth: int | None = None) -> DataFrame:
+    """Detective: cells that start's cells depend on (or that depend on them), through others too. references: cell, refers.
+
+    Walked until nothing new is found, or `depth` steps if given; each step is kept, so plans stay short."""
     here, there = ("refers", "cell") if forwards else ("cell", "refers")
-    found = near = start.select("cell").distinct()
-    for k in range(depth):
-        near = near.join(references.select(F.col(here).alias("cell"), F.col(there).alias("__next")), "cell").select(F.col("__next").alias("cell")).distinct().join(found, "cell", "left_anti")
-        if k % 4 == 3:
-            near = near.checkpoint() if near.sparkSession.sparkContext.getCheckpointDir() else near
-            if near.isEmpty():
-                break
+    keep = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    step = references.select(F.col(here).alias("cell"), F.col(there).alias("__next"))
+    found = near = keep(start.select("cell").distinct())
+    k = 0
+    while depth is None or k < depth:
+        k += 1
+        near = keep(near.join(step, "cell").select(F.col("__next").alias("cell")).distinct().join(found, "cell", "left_anti"))
+        if near.isEmpty():
+            break
         found = found.unionByName(near)
+        if k % 16 == 0:
+            found = keep(found.coalesce(8))
     return found

@@ -75,12 +75,19 @@ def distinct(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.dropDuplicates(columns)
 
 
+#: Criteria rows of one condition: a sheet range.
+CRITERIA = 8192
+
+
 def advanced_filter(df: DataFrame, criteria: DataFrame, distinct_rows: bool = False) -> DataFrame:
     """Rows that some criteria row matches in all its columns that aren't empty. A criterion is a value or an operator and a value (`>10`).
 
-    Criteria are a sheet range: at most 8192 rows, read to the driver and made one condition."""
-    rows = criteria.limit(8192).collect()
+    Up to CRITERIA rows are read to the driver and made one condition; more are a semi-join, in which each row is held against each criteria row."""
+    rows = criteria.limit(CRITERIA + 1).collect()
     kinds = dict(df.dtypes)
+    if len(rows) > CRITERIA:
+        out = _criteria_join(df, criteria, kinds)
+        return out.dropDuplicates() if distinct_rows else out
     tests = []
     for row in rows:
         own = [_criterion(F.col(c), kinds[c], row[c]) for c in criteria.columns if row[c] is not None and row[c] != ""]
@@ -100,6 +107,25 @@ def _criterion(x: Column, kind: str, given: object) -> Column:
     return x == (float(text) if kind != "string" else text)
 
 
+def _criteria_join(df: DataFrame, criteria: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    names = criteria.columns
+    given = criteria.select(*(F.col(c).cast("string").alias(f"__c{k}") for k, c in enumerate(names)))
+    given = given.filter(reduce(Column.__or__, [F.coalesce(F.col(c) != "", F.lit(False)) for c in given.columns])).distinct()
+    if given.isEmpty():
+        return df
+    parts = []
+    for k, name in enumerate(names):
+        op = F.regexp_extract(f"__c{k}", "^(<=|>=|<>|<|>|=)?", 1)
+        value = F.substring(F.col(f"__c{k}"), F.length(op) + 1, F.length(f"__c{k}"))
+        parts += [op.alias(f"__o{k}"), F.when(F.col(f"__c{k}") != "", value if kinds[name] == "string" else value.cast("double")).alias(f"__v{k}")]
+    tests = []
+    for k, name in enumerate(names):
+        op, v, x = F.col(f"__o{k}"), F.col(f"__v{k}"), F.col(name) if kinds[name] == "string" else F.col(name).cast("double")
+        held = F.when(op == "<=", x <= v).when(op == ">=", x >= v).when(op == "<>", x != v).when(op == "<", x < v).when(op == ">", x > v).otherwise(x == v)
+        tests.append(v.isNull() | held)
+    return df.join(given.select(*parts), reduce(Column.__and__, tests), "left_semi")
+
+
 def semi_filter(df: DataFrame, keys: DataFrame, on: list[str], anti: bool = False) -> DataFrame:
     """Rows whose keys are (not) in another table, of any size."""
     return df.join(keys.select(*on).distinct(), on, "left_anti" if anti else "left_semi")
@@ -180,7 +206,7 @@ def _measures(df: DataFrame, across: list[Dimension], data: list[Dimension], spe
     if len(across) > 1:
         raise ValueError("one column dimension; combine columns first for more")
     field = across[0].field
-    members = list(spec.values) or [r[0] for r in df.select(field).distinct().orderBy(field).limit(255).collect()]
+    members = list(spec.values) or [r[0] for r in df.select(field).distinct().orderBy(field).collect()]
     out = [_when(d, field, m).alias(f"{m}_{d.function}_{d.field}") for m in members for d in data]
     return out + (plain if spec.total_columns else [])
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon.operators import emit, lookup, matrix, query, ranges, text
-from tabulon.plans.specs import Entry, Key, Query, Range, Rule, Sort
+from tabulon.plans.specs import Dimension, Entry, Key, Pilot, Query, Range, Rule, Sort
 
 
 @pytest.fixture(scope="module")
@@ -148,3 +148,23 @@ def test_row_numbers(spark, monkeypatch, bins):
     rows = ranges.row_numbers(df, ["k", "i"], "n").collect()
     assert [r.n for r in sorted(rows, key=lambda r: (r.k, r.i))] == list(range(1, 1001))
     assert ranges.row_numbers(df.limit(0), ["k"], "n").count() == 0
+
+
+def test_traced_walks_long_chains_and_cycles(spark):
+    refs = spark.createDataFrame([(k, k - 1) for k in range(1, 80)] + [(5, 70)], "cell int, refers int").coalesce(1)
+    start = spark.createDataFrame([(79,)], "cell int")
+    assert sorted(r.cell for r in lookup.traced(refs, start).collect()) == list(range(80))
+
+
+def test_advanced_filter_takes_all_criteria(spark):
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (2.0, "b"), (3.0, None), (None, "c"), (20_000.0, "d")], "x double, s string")
+    filler = spark.range(9000).select((-F.col("id") - 1).cast("string").alias("x"), F.lit(None).cast("string").alias("s"))
+    own = spark.createDataFrame([("2", "b"), ("", "<>a"), (">=20000", None), ("", "")], "x string, s string")
+    small = query.advanced_filter(df, own).collect()
+    assert sorted(query.advanced_filter(df, filler.unionByName(own)).collect(), key=str) == sorted(small, key=str) and len(small) == 4
+
+
+def test_pilot_keeps_all_members(spark):
+    df = spark.range(300).select(F.lit("r").alias("row"), F.format_string("m%03d", "id").alias("col"), F.col("id").alias("v"))
+    found = query.pilot(df, Pilot((Dimension("row"), Dimension("col", "column"), Dimension("v", "data", "sum")))).first().asDict()
+    assert {k: v for k, v in found.items() if k != "row"} == {f"m{k:03d}_sum_v": k for k in range(300)}
