@@ -63,9 +63,9 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 def portions(texts: list[str]) -> list[list[str]]:
     """texts in runs of at most AT_ONCE characters; a longer text is a run of its own."""
-    out, size = [], AT_ONCE
+    out, size = [], 0
     for t in texts:
-        if size + len(t) > AT_ONCE:
+        if not out or size + len(t) > AT_ONCE:
             out.append([])
             size = 0
         out[-1].append(t)

@@ -140,6 +140,16 @@ def test_pooling_equals_plain_means():
             assert not found[k].any()
 
 
+@pytest.mark.parametrize("first", [None, ""])
+def test_slices_that_begin_with_an_empty_text(spark, first):
+    rest = ["good words here", "", "more good words"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([first, *rest])], "doc_id long, text string").coalesce(1)
+    assert np.allclose(quality.word_vectors(df), quality.word_vectors(df.filter("doc_id > 0")))
+    vectors = np.random.default_rng(1).normal(size=(quality.BUCKETS, quality.DIMENSIONS))
+    found = quality.pooled([first or "", *rest], vectors)
+    assert found.shape == (4, quality.FEATURES) and np.allclose(found[1:], quality.pooled(rest, vectors))
+
+
 def test_all_words_of_a_language_are_counted(spark):
     rng = random.Random(5)
     # One language of many words, each often; one of few documents, each word once and a run of 6,000 letters

@@ -142,3 +142,12 @@ def test_components(spark):
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {k: find(k) for k in top}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_slices_that_begin_with_an_empty_text(spark):
+    for texts in ([""], ["", "a b c"], ["", "", "a b c d e f", ""]):
+        assert [len(s) for s in ngram_sets(texts, 5)] == [{0: 0, 3: 1, 6: 2}[len(t.split())] for t in texts]
+    for first in (None, ""):
+        rows = [(0, first), (1, "one two three four five six"), (2, ""), (3, "one two three four five six")]
+        found = {r.id: r for r in nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+        assert [found[k].links for k in range(4)] == [0, 1, 0, 1]
