@@ -12,7 +12,9 @@ are the partition's number in the upper bits and a counter in the lower 32.
 
 Defined results: null text counts as empty; an empty text is its end id alone; repeated
 rows are packed again each; an empty table gives an empty one; other columns are ignored
-unless named. A null id stays null.
+unless named. A null id stays null, and ids keep their type. An example that is tokenised
+already and has no id of a token gives no piece. Limits under 1 and masks that are not as
+long as their ids are errors.
 """
 
 from __future__ import annotations
@@ -20,10 +22,13 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tabulon.llm.runtime import table
 from tabulon.llm.tokens import LITTLE, ByteBpe, encoder
@@ -38,6 +43,10 @@ class Limits:
     min_cut: int = 8  # less room than this is left as padding
     waste: int = 32  # more padding than this is cut into sequences of powers of two
 
+    def __post_init__(self):
+        if min(self.tokens, self.segments, self.loss, self.window) < 1:
+            raise ValueError("each limit must be 1 at least")
+
 
 @dataclass
 class Example:
@@ -145,10 +154,8 @@ class Packer:
     def _cut(self, score: np.ndarray) -> Example | None:
         k = int(score.argmax())
         n = self.waiting[k].fit(self.room[0], self.room[2])
-        if n < 1:
-            if self.open:
-                return None
-            raise ValueError("a limit of no loss-bearing tokens can't hold an example")
+        if n < 1:  # of an open sequence only: a fresh one holds a token of any kind
+            return None
         own = self.waiting[k].cut(n)
         self._measure(k)
         return own
@@ -202,30 +209,34 @@ def packed(documents: Iterable[tuple[object, Ids]], limits: Limits) -> Iterator[
         yield from out(sequence)
 
 
-SCHEMA = "doc_id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
+FIELDS = "start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 
 
 def pack(df: DataFrame, encode: Callable[[dict], Iterator[Ids]], inputs: list[str], id_col: str = "doc_id", limits: Limits = Limits(), with_ids: bool = True) -> DataFrame:
     """One row per piece. encode: gets an Arrow batch's columns as lists, gives each row's ids."""
+    given = df.select(F.col(id_col).alias("doc_id"), *inputs)
+    return given.mapInArrow(_packing(lambda rows: zip(rows["doc_id"], encode(rows), strict=True), df.schema[id_col].dataType, limits, with_ids), f"doc_id {df.schema[id_col].dataType.simpleString()}, {FIELDS}")
+
+
+def _packing(examples: Callable[[dict], Iterator[tuple[object, Ids]]], id_type, limits: Limits, with_ids: bool, rest: Callable[[], Iterator[tuple[object, Ids]]] = lambda: iter(())):
+    """A task's work. examples: gets rows as lists, gives (id, ids and mask); rest: those left at the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
+        from pyspark.sql.pandas.types import to_arrow_type
 
         names: dict[int, object] = {}
 
         def documents():
-            n = 0
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    rows = batch.slice(at, 256).to_pydict()
-                    for name, own in zip(rows[id_col], encode(rows), strict=True):
-                        names[n] = (name, len(own[0]))
-                        yield n, own
-                        n += 1
+            parts = (batch.slice(at, 256).to_pydict() for batch in batches for at in range(0, batch.num_rows, 256))
+            found = chain(chain.from_iterable(map(examples, parts)), chain.from_iterable(f() for f in (rest,)))
+            for n, (name, own) in enumerate(x for x in found if len(x[1][0])):
+                names[n] = (name, len(own[0]))
+                yield n, own
 
         base = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), *[pa.int64()] * 5]
+        kinds = [to_arrow_type(id_type), pa.int64(), pa.int64(), pa.list_(pa.int32()), *[pa.int64()] * 5]
         fields = ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset"]
 
         def batch() -> pa.RecordBatch:
@@ -244,7 +255,7 @@ def pack(df: DataFrame, encode: Callable[[dict], Iterator[Ids]], inputs: list[st
         if rows:
             yield batch()
 
-    return df.select(id_col, *(c for c in inputs if c != id_col)).mapInArrow(run, SCHEMA)
+    return run
 
 
 def text_ids(path: str, pattern: str, end_id: int, text_col: str) -> Callable[[dict], Iterator[Ids]]:
@@ -264,6 +275,8 @@ def masked_ids(ids_col: str, mask_col: str) -> Callable[[dict], Iterator[Ids]]:
 
     def encode(rows: dict) -> Iterator[Ids]:
         for ids, mask in zip(rows[ids_col], rows[mask_col], strict=True):
+            if mask is not None and len(mask) != len(ids or []):
+                raise ValueError("a mask must be as long as its ids")
             yield np.array(ids or [], LITTLE), None if mask is None else np.array(mask, bool)
 
     return encode
@@ -277,23 +290,52 @@ def pack_texts(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", to
     return pack(df, text_ids(path, public_tokenizers.PATTERN, end_id, text_col), [text_col], id_col, limits, with_ids)
 
 
-def pack_conversations(df: DataFrame, tokenizer: str | None = None, end_id: int = 1, limits: Limits = Limits(), answer_role: str = "assistant") -> DataFrame:
+def pack_conversations(df: DataFrame, tokenizer: str | None = None, end_id: int = 1, limits: Limits = Limits(), answer_role: str = "assistant", stretch: int = 1 << 16) -> DataFrame:
     """Instruction data (conv_id, turn, role, text): each conversation's turns in order, an end id after each turn; only the answers bear loss.
 
-    A conversation is bounded by nature; its turns are gathered to one row. Null roles bear no loss; null texts are empty."""
+    Turns are range-partitioned by conversation and turn and read as a stream, so no
+    conversation is gathered: an example is a conversation's turns of one partition, cut
+    after the turn that reaches `stretch` tokens, and `start` counts within it. `turn`
+    is the example's first turn. A turn without a conv_id is an example of its own; null
+    roles bear no loss; null texts are empty."""
     import public_tokenizers
-    from pyspark.sql import functions as F
 
     path, pattern = tokenizer or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
-    turns = df.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turns = df.select("conv_id", "turn", "role", "text").repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
+    numbered = StructType([StructField("conv_id", df.schema["conv_id"].dataType), StructField("turn", df.schema["turn"].dataType)])
 
-    def encode(rows: dict) -> Iterator[Ids]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ByteBpe, path, pattern)
-        for talk in rows["turns"]:
-            ids = [np.concatenate([own.encode(t["text"] or ""), [end_id]]).astype(LITTLE) for t in talk]
-            yield np.concatenate(ids), np.concatenate([np.full(len(x), t["role"] == answer_role) for x, t in zip(ids, talk, strict=True)])
-
-    return pack(turns, encode, ["turns"], "conv_id", limits).withColumnRenamed("doc_id", "conv_id")
+        held: list[tuple[np.ndarray, bool]] = []
+        key: tuple = ()
+        size = 0
+
+        def example() -> tuple[dict, Ids]:
+            ids = np.concatenate([x for x, _ in held])
+            mask = np.concatenate([np.full(len(x), m) for x, m in held])
+            held.clear()
+            return {"conv_id": key[0], "turn": key[1]}, (ids, mask)
+
+        def examples(rows: dict) -> Iterator[tuple[dict, Ids]]:
+            nonlocal key, size
+            for conv, turn, role, text in zip(*(rows[c] for c in ("conv_id", "turn", "role", "text")), strict=True):
+                if held and (conv is None or conv != key[0] or size >= stretch):
+                    yield example()
+                if not held:
+                    key, size = (conv, turn), 0
+                held.append((np.concatenate([own.encode(text or ""), [end_id]]).astype(LITTLE), role == answer_role))
+                size += len(held[-1][0])
+
+        def rest() -> Iterator[tuple[dict, Ids]]:
+            if held:
+                yield example()
+
+        yield from _packing(examples, numbered, limits, True, rest)(batches)
+
+    found = turns.mapInArrow(run, f"example {numbered.simpleString()}, {FIELDS}")
+    return found.select("example.conv_id", "example.turn", *(f.split(" ")[0] for f in FIELDS.split(", ")))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

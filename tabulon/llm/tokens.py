@@ -1,8 +1,9 @@
 """Fast exact encoders over public tokenizer files.
 
-Both encoders give the ids of the `tokenizers` library for the same file, with special
-token strings treated as ordinary text. The merge loop runs in tiktoken's core; texts
-outside the range where both libraries provably split alike go through `tokenizers`.
+Both encoders give the ids of `Tokenizer.from_file(path).encode(text, add_special_tokens=False)`
+of the `tokenizers` library: the string of a special token in a text becomes its id, as
+there. The merge loop runs in tiktoken's core; texts with such a string, and those outside
+the range where both libraries provably split alike, go through `tokenizers`.
 """
 
 from __future__ import annotations
@@ -27,13 +28,15 @@ class _Base:
     def __init__(self, path: str):
         self.path = path
         self._slow = None
+        with open(path, encoding="utf-8") as f:
+            self.file = json.load(f)
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in self.file["added_tokens"]) or "(?!)")
 
     def slow(self, text: str) -> np.ndarray:
         if self._slow is None:
             from tokenizers import Tokenizer
 
             self._slow = Tokenizer.from_file(self.path)
-            self._slow.encode_special_tokens = True
         return np.array(self._slow.encode(text, add_special_tokens=False).ids, LITTLE)
 
 
@@ -44,8 +47,7 @@ class ByteBpe(_Base):
         super().__init__(path)
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+        model = self.file.pop("model")
         symbol = byte_symbols()
         ranks, ids = {}, []
         for s, b in symbol.items():
@@ -61,6 +63,8 @@ class ByteBpe(_Base):
         self.core = tiktoken.Encoding("byte", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
 
     def encode(self, text: str) -> np.ndarray:
+        if self.special.search(text):
+            return self.slow(text)
         try:
             return self.ids[np.frombuffer(self.core.encode_to_tiktoken_buffer(text, set()), np.uint32)]
         except ValueError:  # white space so long that the regex engine's stack is full
@@ -83,8 +87,7 @@ class WordBpe(_Base):
         super().__init__(path)
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+        model = self.file.pop("model")
         symbol = byte_symbols()
         zero = next(s for s, b in symbol.items() if b == 0)
         vocab = model["vocab"]
@@ -114,7 +117,7 @@ class WordBpe(_Base):
         self.core = tiktoken.Encoding("word", pat_str="[^\\x00]+\\x00", mergeable_ranks=ranks, special_tokens={})._core_bpe
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.PLAIN.fullmatch(text):
+        if not self.PLAIN.fullmatch(text) or self.special.search(text):
             return self.slow(text)
         words = self.WORDS.findall(text.lower())
         if not words:

@@ -38,7 +38,6 @@ def test_every_id_lies_in_one_piece(spark):
     df = spark.createDataFrame(list(enumerate(texts)), SCHEMA).withColumn("sequence_id", F.lit("clash")).repartition(3)
     rows = pack_texts(df).collect()
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     by = defaultdict(list)
     for r in rows:
         by[r.doc_id].append(r)
@@ -93,5 +92,62 @@ def test_masks_and_conversations(spark):
         made[r.conv_id][0] += r.loss_tokens
         made[r.conv_id][1] += r.length
     assert made == {1: [4, 7], 2: [0, 1]}
+
+
+@pytest.mark.parametrize("limit", ["tokens", "segments", "loss", "window"])
+def test_limits_of_zero_are_errors(limit):
     with pytest.raises(ValueError, match="limit"):
-        list(packed([(1, (np.arange(3), np.ones(3, bool)))], Limits(loss=0)))
+        Limits(**{limit: 0})
+
+
+def test_empty_examples_other_ids_and_bad_masks(spark):
+    df = spark.createDataFrame([("a", [], []), ("b", [1, 2], [True, False]), (None, [3], None)], "name string, ids array<int>, mask array<boolean>")
+    found = pack(df, masked_ids("ids", "mask"), ["ids", "mask"], "name")
+    assert sorted((r.doc_id or "", list(r.ids), r.loss_tokens) for r in found.collect()) == [("", [3], 1), ("b", [1, 2], 1)]
+    small = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id int, text string")
+    assert sorted((r.doc_id, r.start + k) for r in pack_texts(small).collect() for k in range(r.length)) == [(1, 0), (1, 1), (1, 2), (2, 0)]
+    with pytest.raises(ValueError, match="mask"):
+        list(masked_ids("ids", "mask")({"ids": [[1, 2]], "mask": [[True]]}))
+
+
+def test_long_conversations_are_streamed(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows = [(7, k, "assistant" if k % 2 else "user", f"turn {k} " * 30) for k in range(300)] + [(None, 1, "user", "x"), (None, 1, "user", "x"), (8, 1, "assistant", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    found = pack_conversations(df, stretch=500).collect()
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for conv in (7, 8):
+        ids = [x for c, _, _, text in rows if c == conv for x in [*t.encode(text, add_special_tokens=False).ids, 1]]
+        own = sorted((r for r in found if r.conv_id == conv), key=lambda r: (r.turn, r.start))
+        assert [x for r in own for x in r.ids] == ids
+        assert sum(r.loss_tokens for r in own) == sum(len(t.encode(text, add_special_tokens=False).ids) + 1 for c, _, role, text in rows if c == conv and role == "assistant")
+        assert max(r.doc_tokens for r in own) < 700
+    assert [sum(n) for n in zip(*((r.length, r.loss_tokens) for r in found if r.conv_id is None), strict=True)] == [4, 0]
+    assert pack_conversations(df.limit(0)).count() == 0
+
+
+def test_query_equals_brute_force(spark):
+    """op1 over a whole table: the library's ids, each in one piece, gapless sequences, little padding."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tabulon.llm.packing import op1_packing
+
+    folder = "/root/testdata/sf0.001"
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = op1_packing(spark, folder).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append(r)
+    assert set(by) == set(texts)
+    for k, text in texts.items():
+        ids, at = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4"), 0
+        for r in sorted(by[k], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == len(ids)
+    tokens, padding = layout(rows)
+    assert padding < 0.02 * tokens
