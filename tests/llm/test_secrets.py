@@ -1,9 +1,11 @@
 import hashlib
+import math
 import random
 import re
 import string
+from collections import Counter
 
-from tabulon.llm.secrets import joined, redacted, rejections, scan_secrets
+from tabulon.llm.secrets import CHANGES, ENCODINGS, battery, joined, redacted, rejections, scan_secrets, symbol_shares
 from tabulon.llm.secrets import _digest as digest
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ def test_random_runs_are_found_and_names_are_not(spark):
 
 
 def test_step_up_threshold(spark):
-    # 100 runs: 20 of p = 1e-6 (place 120), 80 of p near 1
+    # 100 runs: 20 of p = 1e-6 (place 120) under the null of writing, 80 of p near 1
     df = spark.createDataFrame([("hex", 5, 120)] * 20 + [("hex", 5, 0)] * 80, "encoding string, class int, place int")
     assert rejections(df) == {("hex", 5): 120}
     assert rejections(df.filter("place = 0")) == {}
@@ -68,6 +70,94 @@ def test_redaction_and_edge_tables(spark):
     assert found.select(joined(F.col("__ss_all"))).first()[0].startswith("assign:2:")
 
 
+ALPHABETS = {"base64": string.ascii_letters + string.digits + "+/", "base32": string.ascii_uppercase + "234567", "alnum": string.ascii_lowercase + string.digits, "HEX": "0123456789ABCDEF"}
+WORDS = "request handler document settings internal version response index build user account token2 cache server config module parser stream buffer manager session render window update commit branch".split()
+
+
+def names(rng, style, n):
+    out = ""
+    while len(out) < n:
+        w, d = rng.choice(WORDS), str(rng.randint(0, 2024)) if rng.random() < 0.4 else ""
+        out += {"camel": w.capitalize() + d, "small": w + d, "capitals": w.upper() + d, "path": f"/{w.capitalize()}{d}_", "serial": f"{w[:3].upper()}{rng.randint(0, 10**8)}a"}[style]
+    return out[:n]
+
+
+def test_planted_secrets_and_decoys_by_length(spark):
+    rng = random.Random(3)
+    prose = [r.text[:400] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) > 400").collect()]
+    planted = {}
+    for n in (24, 32, 48, 96):
+        for kind, alphabet in ALPHABETS.items():
+            for k in range(30):
+                planted[kind, n, k] = "".join(rng.choices(alphabet, k=n))
+        for style in ("camel", "small", "capitals", "path", "serial"):
+            for k in range(60):
+                planted[style, n, k] = names(rng, style, n)
+    rows = [(*key, f"{rng.choice(prose)} {('', 'name=', '?sig=')[key[2] % 3]}{run} there") for key, run in planted.items()]
+    found = scan_secrets(spark.createDataFrame(rows, "kind string, n int, k int, text string").repartition(4)).filter(F.exists("__ss_all", lambda s: s["kind"] == "random")).select("kind", "n").collect()
+    hits = {n: (sum(r.kind in ALPHABETS for r in found if r.n == n), sum(r.kind not in ALPHABETS for r in found if r.n == n)) for n in (24, 32, 48, 96)}
+    for n, least in ((24, 0.75), (32, 0.85), (48, 0.95), (96, 0.97)):
+        real, false = hits[n]
+        assert real >= least * 120, hits
+        assert false <= 0.1 * (real + false), hits
+    assert sum(r for r, _ in hits.values()) >= 0.9 * 480 and sum(f for _, f in hits.values()) <= 0.05 * len(found), hits
+
+
+def two_sided(z):
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
+def by_hand(run, name, shares):
+    """The battery's p-value and the null's, in plain Python."""
+    alphabet = ENCODINGS[name][1]
+    codes = [alphabet.index(c) for c in (run.lower() if name == "hex" else run.replace("-", "+").replace("_", "/"))]
+    n, k = len(codes), len(alphabet)
+    squares = sum(c * c for c in Counter(codes).values())
+    df = k - 1
+    z_counts = (((k * squares / n - n) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    high = [c * 2 >= k for c in codes]
+    up = sum(high)
+    mean = 2 * up * (n - up) / n + 1
+    z_runs = (1 + sum(a != b for a, b in zip(high, high[1:])) - mean) / math.sqrt((mean - 1) * (mean - 2) / (n - 1))
+    middle = sum(codes) / n
+    r = sum((a - middle) * (b - middle) for a, b in zip(codes, codes[1:])) / sum((c - middle) ** 2 for c in codes)
+    p = min(1, 3 * min(map(two_sided, (z_counts, z_runs, (r + 1 / n) * math.sqrt(n)))))
+    two, three = sum(q * q for q in shares[name]), sum(q**3 for q in shares[name])
+    mean, var = n * (n - 1) * two, 2 * n * (n - 1) * (two - two * two) + 4 * n * (n - 1) * (n - 2) * (three - two * two)
+    ninth = var / (9 * mean * mean)
+    z = (1 - ninth - ((squares - n) / mean) ** (1 / 3)) / math.sqrt(ninth)
+    kind = lambda c: c.isdigit() + 2 * c.isupper()
+    changes = sum(kind(a) != kind(b) and not (a.isupper() and b.islower()) for a, b in zip(run, run[1:]) if a.isalnum() and b.isalnum())
+    x = max(0, changes - 0.5) / (n - 1)
+    deviance = sum(a * math.log(a / b) for a, b in ((x, CHANGES), (1 - x, 1 - CHANGES)) if a)
+    z = (z + math.copysign(math.sqrt(max(0, 2 * (n - 1) * deviance)), x - CHANGES)) / math.sqrt(2)
+    return p, -20 * math.log10(two_sided(z) / 2) if z > 0 else 0
+
+
+def test_p_values_equal_plain_python(spark):
+    rng = random.Random(8)
+    shares = symbol_shares({c: 5 for c in string.ascii_letters})
+    runs = ["".join(rng.choices(a, k=rng.randint(20, 200))) for a in ALPHABETS.values() for _ in range(25)] + [names(rng, s, 40) for s in ("camel", "small", "path") for _ in range(20)]
+    df = spark.createDataFrame([(r,) for r in runs], "run string").select("run", battery(F.col("run"), shares).alias("t")).filter("t is not null").collect()
+    assert len(df) > 100
+    for r in df:
+        p, place = by_hand(r.run, r.t.encoding, shares)
+        assert r.t.symbols == len(r.run)
+        assert math.isclose(r.t.p, p, rel_tol=2e-3, abs_tol=1e-12), r
+        assert abs(min(400, math.floor(place)) - r.t.place) <= 1, (r, place)
+
+
+def test_spans_are_ordered_by_start_then_kind(spark):
+    df = spark.createDataFrame([(1, [(5, 3, 6, "random"), (5, 0, 60, "assign"), (2, 3, 9, "random")])], "doc_id long, s array<struct<start:long,rank:int,end:long,kind:string>>")
+    assert df.select(joined(F.array_sort("s"))).first()[0] == "random:2:9,assign:5:60,random:5:6"
+
+
+def test_short_and_odd_runs(spark):
+    texts = ["aB3", "=" * 50, "_" * 40, "-" * 30 + "=", "abcdefghijklmnopqrstuvwxyz0123456789", "0" * 30 + "A", "A1" * 30, "aB3" * 400_000, "é" * 30 + "q8Xv2" * 4]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"__ss_all": F.lit("x"), "__ss_runs": F.lit(1)})
+    assert {r.doc_id: r.spans for r in digest(scan_secrets(df)).collect() if "random" in r.spans} == {}
+
+
 def test_native_plan(spark):
     plan = digest(scan_secrets(spark.createDataFrame([(1, "a")], "doc_id long, text string")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
