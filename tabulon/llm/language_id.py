@@ -1,49 +1,54 @@
 """Language ID: interpolated Kneser-Ney character models, one per language.
 
-A model reads a word as its lower-case letters between two word ends and gives each
-character a probability from the `order` - 1 before it. Counts above order one are
-continuation counts, discounted by Kneser-Ney's absolute discounts, interpolated down to
-the uniform distribution over the characters known to any language. All n-grams of a
-language are kept as sorted arrays of 64-bit hashes with their finished log-probabilities
-and their contexts' back-off weights, and looked up by binary search.
+A model reads a word (letters, and marks that combine with them) in lower case between two
+word ends and gives each character a probability from the `order` - 1 before it. Counts
+above order one are continuation counts, discounted by Kneser-Ney's absolute discounts,
+interpolated down to the uniform distribution over the characters known to any language.
+N-grams are kept as 64-bit hashes in one sorted array per order, looked up by binary
+search; beside each are the languages that have it, with their finished log-probabilities,
+and likewise contexts with back-off weights. What a language lacks takes no room.
 
 A text's language is the one of the lowest cross-entropy per character (a word end counts
 as one). `score` is the posterior of that language when each language's total
 log-probability is tempered to `characters` ** 0.5 characters, so long texts don't all
-score 1. A text is rejected when its lowest cross-entropy lies above the language's limit:
-the `keep` quantile over training documents that the model was not counted on, plus
-`slack` nats and `short` / sqrt(characters), as short texts scatter more. Texts without a
-letter are `und` and rejected.
+score 1. A text is rejected when its lowest cross-entropy lies above the language's limit,
+plus `short` / sqrt(characters), as short texts scatter more. Limits are calibrated on
+training documents that no model was counted on: half way from the language's own, by
+robust quantiles (the `keep` quantile, at most `spread` deviations over the median, so a
+few mislabelled documents don't set it), to the lowest cross-entropies of the other
+languages' documents (their `beyond` quantile), or `slack` nats above the own where there
+is no other language. Texts without a letter are `und` and rejected.
 
 Models are fitted on a sample of labelled documents: for each language every document
-whose hash falls under a share that gives `sample` documents on average. The sample is
-gathered as counts of n-grams per language, of all words of its documents, so no language's
-rare words are lost to another's. Everything else covers all rows and whole texts.
+whose hash falls under a share that gives `sample` documents on average. All words of
+these documents count, as n-gram counts per language; each language's model is built by
+one task. Everything else covers all rows and whole texts.
 
 Word scores are cached in each worker (bounded): a text's sum is over its words' rows.
 
-Defined results: null and letterless texts are `und`, score 0; repeated rows are scored
-each; an empty table gives an empty one; without any labelled row every text is `und`;
-`identify` keeps all columns and adds names beginning with `__lid_`.
+Defined results: null and letterless texts are `und`, score 0 (numbers such as one half or
+Roman numeral signs are no letters, nor is a mark without a letter before it); repeated
+rows are scored each; an empty table gives an empty one; without any labelled row every
+text is `und`; `identify` keeps all columns and adds names beginning with `__lid_`.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.runtime import table
+from tabulon.llm.runtime import table, written
 
 UND = "und"
-WORDS = re.compile(r"[^\W\d_]+")
+WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Word ends, as the models see them.
 EDGE = "\x02"
 LONGEST = 4096  # characters scored at once; a longer word is counted and scored in stretches of that length
@@ -55,8 +60,10 @@ class Settings:
     order: int = 4
     sample: int = 1000
     keep: float = 0.999
+    spread: float = 12.0
+    beyond: float = 0.01
     slack: float = 1.0
-    short: float = 4.0
+    short: float = 9.0
 
 
 def hashes(codes: np.ndarray, n: int) -> np.ndarray:
@@ -112,74 +119,101 @@ class Model:
             self.weights.append({h: discount * kinds[h] / total[h] for h in total})
 
 
+def _keyed(names: list[str], values: list[float], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ascending; logarithms of the values)"""
+    codes = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    key = hashes(codes, n)[::n] if n and len(codes) else np.zeros(len(names), np.uint64)
+    order = np.argsort(key)
+    return key[order], np.log(np.array(values, float))[order].astype(np.float32)
+
+
+#: For each order: n-grams' hashes and log-probabilities, contexts' hashes and log-weights.
+Part = list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def finished(model: Model, order: int, symbols: int) -> Part:
+    """One language's arrays: interpolated with the lower orders."""
+    lower, out = {"": 1 / symbols}, []
+    for n in range(order):
+        weights = model.weights[n]
+        own = {g: v + weights[g[:-1]] * lower[g[1:]] for g, v in model.shares[n].items()}
+        out.append((*_keyed(list(own), list(own.values()), n + 1), *_keyed(list(weights), list(weights.values()), n)))
+        lower = own
+    return out
+
+
+class Sparse:
+    """Sorted hashes, and for each the languages that have it with their values."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        keys = np.concatenate([k for k, _ in parts])
+        order = np.argsort(keys, kind="stable")
+        self.langs = np.repeat(np.arange(len(parts), dtype=np.int16), [len(k) for k, _ in parts])[order]
+        self.values = np.concatenate([v for _, v in parts])[order]
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.bounds = np.append(first, len(keys))
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the key, language, value) of each entry of the keys that are known."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(0, np.float32)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        known = np.flatnonzero(self.keys[at] == key)
+        at = at[known]
+        sizes = self.bounds[at + 1] - self.bounds[at]
+        place = np.arange(sizes.sum()) + np.repeat(self.bounds[at] - np.cumsum(sizes) + sizes, sizes)
+        return np.repeat(known, sizes), self.langs[place], self.values[place]
+
+
 class Tables:
-    """All languages' models, finished: for each order the hashes of every language's n-grams
-    in one sorted array, beside it each language's log-probability (interpolated, backed off
-    where the language lacks the n-gram), and likewise contexts with back-off weights."""
-
-    def __init__(self, models: list[Model], order: int, symbols: int):
-        self.order, n_models = order, len(models)
-        lower = {"": 0}
-        values = np.full((1, n_models), 1 / symbols)
-        self.grams, self.contexts = [], []
-        for n in range(order):
-            contexts = {h: k for k, h in enumerate(sorted({h for m in models for h in m.weights[n]}))}
-            weight = np.ones((len(contexts), n_models))
-            grams = {g: k for k, g in enumerate(sorted({g for m in models for g in m.shares[n]}))}
-            share = np.zeros((len(grams), n_models))
-            for k, m in enumerate(models):
-                weight[[contexts[h] for h in m.weights[n]], k] = list(m.weights[n].values())
-                share[[grams[g] for g in m.shares[n]], k] = list(m.shares[n].values())
-            values = share + weight[[contexts[g[:-1]] for g in grams]] * values[[lower[g[1:]] for g in grams]] if grams else np.zeros((0, n_models))
-            lower = grams
-            self.contexts.append(self._sorted(contexts, weight, n))
-            self.grams.append(self._sorted(grams, values, n + 1))
-        self.unknown = self.contexts[0][1][0] - math.log(symbols) if len(self.contexts[0][1]) else np.full(n_models, -math.log(symbols))
-
-    @staticmethod
-    def _sorted(names: dict[str, int], values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if not n:
-            return np.zeros(len(names), np.uint64), np.log(values)
-        codes = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        key = hashes(codes, n)[::n] if len(codes) else np.zeros(0, np.uint64)
-        order = np.argsort(key)
-        return key[order], np.log(values)[order]
-
-    @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which keys are known, their rows)"""
-        if not len(table[0]):
-            return np.zeros(len(key), bool), np.zeros(len(key), np.int64)
-        at = np.minimum(np.searchsorted(table[0], key), len(table[0]) - 1)
-        return table[0][at] == key, at
+    """All languages' models. What a language lacks backs off to its lower orders."""
+
+    def __init__(self, parts: list[Part], symbols: int):
+        self.order = len(parts[0]) if parts else 0
+        self.grams = [Sparse([p[n][:2] for p in parts]) for n in range(self.order)]
+        self.contexts = [Sparse([p[n][2:] for p in parts]) for n in range(self.order)]
+        self.unknown = np.array([(float(p[0][3][0]) if len(p[0][3]) else 0.0) - math.log(symbols) for p in parts])
 
     def score(self, codes: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Log-probabilities of each code, given those before it in its word; place: how many those are."""
-        out = np.zeros((len(codes), len(self.unknown)))
-        todo = np.arange(len(codes))
+        hashed = [None, *(hashes(codes, n) if len(codes) >= n else np.zeros(0, np.uint64) for n in range(1, self.order + 1))]
+        window = np.minimum(place + 1, self.order)
+        key = np.zeros(len(codes), np.uint64)
+        for n in range(1, self.order + 1):
+            own = np.flatnonzero(window == n)
+            key[own] = hashed[n][own - n + 1]
+        # Each window of characters is scored once.
+        _, first, again = np.unique(key, return_index=True, return_inverse=True)
+        window = window[first]
+        out = np.zeros((len(first), len(self.unknown)))
+        left = np.ones(out.shape, bool)  # languages without a probability yet
         for n in range(self.order, 0, -1):
-            can = todo[place[todo] >= n - 1]
+            can = np.flatnonzero((window >= n) & left.any(axis=1))
             if not len(can):
                 continue
-            found, at = self._find(self.grams[n - 1], hashes(codes, n)[can - n + 1])
-            out[can[found]] += self.grams[n - 1][1][at[found]]
-            left = can[~found]
-            if n > 1 and len(left):
-                found, at = self._find(self.contexts[n - 1], hashes(codes, n - 1)[left - n + 1])
-                out[left[found]] += self.contexts[n - 1][1][at[found]]
-            elif len(left):
-                out[left] += self.unknown
-            todo = np.concatenate([left, todo[place[todo] < n - 1]])
-        return out
+            at = first[can] - n + 1
+            row, lang, value = self.grams[n - 1].find(hashed[n][at])
+            row = can[row]
+            new = left[row, lang]
+            row, lang = row[new], lang[new]
+            out[row, lang] += value[new]
+            left[row, lang] = False
+            if n > 1:
+                row, lang, value = self.contexts[n - 1].find(hashed[n - 1][at])
+                row = can[row]
+                new = left[row, lang]
+                out[row[new], lang[new]] += value[new]
+            else:
+                out[can] += np.where(left[can], self.unknown, 0)
+        return out[again]
 
 
 class Identifier:
-    """All languages' models and their limits. counts: each language's n-grams."""
+    """All languages' models and their limits."""
 
-    def __init__(self, settings: Settings, counts: dict[str, dict[str, int]]):
-        self.settings, self.names = settings, sorted(counts)
-        symbols = len({c for grams in counts.values() for g in grams for c in g} - {EDGE}) + 2
-        self.tables = Tables([Model.of_grams(counts[n], settings.order) for n in self.names], settings.order, symbols)
+    def __init__(self, settings: Settings, parts: dict[str, Part], symbols: int):
+        self.settings, self.names = settings, sorted(parts)
+        self.tables = Tables([parts[n] for n in self.names], symbols)
         self.limits = np.full(len(self.names), np.inf)
         self.cache: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.names)))
@@ -226,16 +260,54 @@ class Identifier:
             total = total + self.rows[own].sum(axis=0)
         return total, n + sum(map(len, words)) + len(words)
 
+    def entropies(self, texts: list[str | None]) -> list[tuple[np.ndarray, int] | None]:
+        """For each text (each language's cross-entropy, characters); None without a letter."""
+        out: list[tuple[np.ndarray, int] | None] = [None] * len(texts)
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            if held:
+                numbers = self._numbers([w for _, words in held for w in words])
+                counts = np.array([len(words) for _, words in held])
+                totals = np.add.reduceat(self.rows[numbers], np.cumsum(counts) - counts, axis=0)
+                for (k, words), total in zip(held, totals, strict=True):
+                    n = len("".join(words)) + len(words)
+                    out[k] = (-total / n, n)
+                held.clear()
+            size = 0
+
+        for k, text in enumerate(texts):
+            words = WORDS.findall(text.lower()) if text and self.names else []
+            if not words:
+                continue
+            if len(words) > 50_000 or max(map(len, words)) > 64:
+                total, n = self.totals(words)
+                out[k] = (-total / n, n)
+                continue
+            held.append((k, words))
+            size += len(words)
+            if size > 50_000:
+                flush()
+        flush()
+        return out
+
+    def identify_all(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
+        """For each text (language, score, cross-entropy, rejected)"""
+        rows = []
+        for found in self.entropies(texts):
+            if found is None:
+                rows.append((UND, 0.0, None, True))
+                continue
+            each, n = found
+            best = int(each.argmin())
+            odds = np.exp((each[best] - each) * math.sqrt(n))
+            rows.append((self.names[best], float(1 / odds.sum()), float(each[best]), bool(each[best] > self.limits[best] + self.settings.short / math.sqrt(n))))
+        return rows
+
     def identify(self, text: str | None) -> tuple[str, float, float | None, bool]:
-        """(language, score, cross-entropy, rejected)"""
-        words = WORDS.findall(text.lower()) if text else []
-        if not words or not self.names:
-            return UND, 0.0, None, True
-        total, n = self.totals(words)
-        each = -total / n
-        best = int(each.argmin())
-        odds = np.exp((each[best] - each) * math.sqrt(n))
-        return self.names[best], float(1 / odds.sum()), float(each[best]), bool(each[best] > self.limits[best] + self.settings.short / math.sqrt(n))
+        return self.identify_all([text])[0]
 
 
 def bucket(id_col: Column, parts: int) -> Column:
@@ -270,25 +342,38 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
             grams = grams_of(words, settings.order)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
 
-    counted = drawn.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[str, int]] = {}
-    for batch in counted.toArrow().to_batches(10_000):
-        for lang, gram, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            counts.setdefault(lang, {})[gram] = n
-    made = Identifier(settings, counts)
+    counted = written(drawn.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ngrams")
+    symbols = counted.select(F.explode(F.split("gram", "(?!^)(?!$)")).alias("c")).filter(F.col("c") != EDGE).distinct().count() + 2
+
+    def build(group: pa.Table) -> pa.Table:
+        grams = dict(zip(group.column("gram").to_pylist(), group.column("n").to_pylist(), strict=True))
+        part = finished(Model.of_grams(grams, settings.order), settings.order, symbols)
+        rows = [{"lang": group.column("lang")[0].as_py(), "part": k, **{name: x.tobytes() for name, x in zip(("grams", "values", "contexts", "weights"), own, strict=True)}} for k, own in enumerate(part)]
+        return pa.Table.from_pylist(rows, schema=pa.schema([("lang", pa.string()), ("part", pa.int32()), *((c, pa.binary()) for c in ("grams", "values", "contexts", "weights"))]))
+
+    parts: dict[str, Part] = {}
+    for r in sorted(counted.groupBy("lang").applyInArrow(build, "lang string, part int, grams binary, values binary, contexts binary, weights binary").collect(), key=lambda r: (r["lang"], r["part"])):
+        parts.setdefault(r["lang"], []).append(tuple(np.frombuffer(r[c], kind) for c, kind in (("grams", np.uint64), ("values", np.float32), ("contexts", np.uint64), ("weights", np.float32))))
+    made = Identifier(settings, parts, symbols)
     if made.names:
         shared = labelled.sparkSession.sparkContext.broadcast(made)
 
         def entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for batch in batches:
-                rows = [(lang, own.identify(text)) for text, lang, p in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if not p]
-                rows = [(lang, e) for lang, (pred, _, e, _) in rows if pred == lang]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], ["lang", "e"])
-
-        quantile = drawn.mapInArrow(entropies, "lang string, e double").groupBy("lang").agg(F.percentile_approx("e", settings.keep, 10_000).alias("limit"))
-        for r in quantile.collect():
-            made.limits[made.names.index(r["lang"])] = r["limit"] + settings.slack
+                held = [(text, lang) for text, lang, p in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if not p]
+                found = own.entropies([text for text, _ in held])
+                rows = [(name, name == lang, float(e)) for (_, lang), x in zip(held, found, strict=True) if x for name, e in zip(own.names, x[0], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.bool_(), pa.float64()))], ["lang", "own", "e"])
+
+        each = written(drawn.mapInArrow(entropies, "lang string, own boolean, e double"), "entropies")
+        quantile = lambda own, q: F.percentile_approx(F.when(F.col("own") == own, F.col("e")), q, 10_000)
+        middle = each.groupBy("lang").agg(quantile(True, 0.5).alias("middle"), quantile(True, settings.keep).alias("most"), quantile(False, settings.beyond).alias("others"))
+        away = each.join(F.broadcast(middle), "lang").filter("own").groupBy("lang").agg(F.percentile_approx(F.abs(F.col("e") - F.col("middle")), 0.5, 10_000).alias("deviation"))
+        for r in middle.join(away, "lang").collect():  # a row per language
+            most = min(r["most"], r["middle"] + settings.spread * 1.4826 * r["deviation"])
+            others = r["others"]
+            made.limits[made.names.index(r["lang"])] = most + settings.slack if others is None else max(most, (most + others) / 2)
     return made
 
 
@@ -304,7 +389,7 @@ def identify(df: DataFrame, model: Identifier, text_col: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            rows = [own.identify(t) for k in range(0, batch.num_rows, 512) for t in batch.column(at).slice(k, 512).to_pylist()]
+            rows = [r for k in range(0, batch.num_rows, 512) for r in own.identify_all(batch.column(at).slice(k, 512).to_pylist())]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, kind) for c, (_, kind) in zip(cols, added.values(), strict=True))], [*batch.schema.names, *added])
 

@@ -38,6 +38,23 @@ def test_languages_of_other_documents(spark, model):
     assert lid.identify(df.limit(0), model).count() == 0
 
 
+def test_letters_and_marks(spark, model):
+    assert lid.WORDS.findall("हिन्दी भाषा") == ["हिन्दी", "भाषा"]
+    assert lid.WORDS.findall("½ ² Ⅷ ٣ \u0301 a1b_c") == ["a", "b", "c"]
+    rows = [(k, t) for k, t in enumerate(["½", "² Ⅷ", "\u0301", "١٢", "a½"])]
+    found = {r.doc_id: r["__lid_lang"] for r in lid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [found[k] == "und" for k in range(5)] == [True, True, True, True, False]
+
+
+def test_a_language_that_was_left_out_is_rejected(spark):
+    rng = random.Random(3)
+    other = "los las una para con estar mismo donde mucho tambien".split()
+    found = lid.fit(spark.createDataFrame(documents(600, 4) + [(9999, "spam " * 30 + "xq zzk qqw " * 20, "aa")], "doc_id long, text string, lang string"))
+    texts = [" ".join(rng.choices(other, k=40)) for _ in range(50)]
+    assert sum(found.identify(t)[3] for t in texts) >= 48
+    assert not any(found.identify(t)[3] for _, t, _ in documents(90, 11))
+
+
 def test_no_labels(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert lid.identify(df, lid.fit(df)).first()["__lid_lang"] == "und"
@@ -46,7 +63,7 @@ def test_no_labels(spark):
 def test_probabilities_sum_to_one():
     words = {"abc": 3, "abd": 1, "ba": 2, "cab": 1}
     symbols = sorted(set("".join(words))) + [lid.EDGE]
-    tables = lid.Tables([lid.Model(words, 3), lid.Model({"zz": 1, "az": 4}, 3)], 3, len(symbols) + 1)
+    tables = lid.Tables([lid.finished(lid.Model(w, 3), 3, len(symbols) + 1) for w in (words, {"zz": 1, "az": 4})], len(symbols) + 1)
     for context in ("", "a", "ab", "zz", lid.EDGE, lid.EDGE + "a"):
         for k in range(2):
             total = 0.0
@@ -74,7 +91,7 @@ def plain_score(words, order, symbols, text):
 
 def test_tables_equal_plain_kneser_ney():
     words = {"the": 9, "then": 3, "thing": 2, "hen": 4, "in": 7, "nothing": 1}
-    tables = lid.Tables([lid.Model(words, 4), lid.Model({"other": 2}, 4)], 4, 20)
+    tables = lid.Tables([lid.finished(lid.Model(w, 4), 4, 20) for w in (words, {"other": 2})], 20)
     model = lid.Identifier.__new__(lid.Identifier)
     model.names, model.tables = ["a", "b"], tables
     given = ["the", "thin", "zebra", "n", "nothingness", "hhhh"]
@@ -161,7 +178,7 @@ def test_all_words_of_a_language_are_counted(spark):
     model = lid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.names == ["aa", "bb", "cc"]
     assert model.identify(" ".join(rare))[0] == "bb"
-    grams = model.tables.grams[3][0]
+    grams = model.tables.grams[3].keys
     wanted = {run[k : k + 4] for k in range(6000 - 3) if not 4093 <= k <= 4095}
     keys = [lid.hashes(np.frombuffer(g.encode("utf-32-le"), np.uint32).astype(np.uint64), 4)[0] for g in wanted]
     assert np.isin(np.array(keys), grams).all()
