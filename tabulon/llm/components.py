@@ -30,7 +30,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: long columns a and b. Gives node, label: the least node of its component. Nodes without an edge have no row."""
+    """edges: columns a and b of one ordered type. Gives node, label: the least node of its component. Nodes without an edge have no row."""
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     last = None
     while True:

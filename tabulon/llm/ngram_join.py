@@ -3,25 +3,33 @@
 Documents are joined whose sets of word n-grams (five words) have a Jaccard similarity of
 at least 0.8.
 
-1. Each text gives its set's digest and BANDS band hashes of ROWS MinHash values each.
-   `bands_for` chooses the counts: the fewest bands by which a pair at the threshold
-   shares one with the target probability.
+1. Each text gives its set's 128-bit digest, a MinHash signature, and the hashes of its
+   bands. `bands_and_rows` chooses the counts: of those that give a pair at the threshold
+   the target recall with at most HASHES values, the ones by which unlike pairs share the
+   fewest bands.
 2. Equal sets are one class of copies from here on, with one row that stands for them.
-3. The classes' band hashes are shuffled. A bucket with several classes links each of them
-   to its least one (never all pairs), and connected components of these links hold every
-   pair that shares a bucket.
-4. Within a component, all pairs are verified on full n-gram sets, taken anew from the
-   texts. A component of over BLOCK classes is dealt to blocks, and each pair of blocks
-   is a task's unit of its own: memory is bounded by two blocks, no task gets a whole
-   component, and no pair is left out or emitted. What leaves a unit are sums of links per
-   class and a spanning forest of the verified links.
-5. Components of the forests are the classes of near-duplicates.
-
-Recall: a pair at similarity s is compared with probability 1 - (1 - s^ROWS)^BANDS at
-least, 0.99999 at the threshold by default, and more above it.
-
-Class numbers are 64 bits of the set's digest: two different sets share one with odds of
-n^2 / 2^65, and are then one class.
+3. The classes' band hashes are shuffled. Only classes that share a band get their
+   signatures (a byte a value). Within a band, the signatures of all pairs are compared,
+   and pairs that are plausible (their estimate is within SLACK standard deviations of the
+   threshold) are connected; what leaves a task is a spanning forest of these links, never
+   the pairs. So texts that merely share some band don't chain together. A row that is
+   connected to the band's first row is compared with the others' rows only by them, so a
+   band of alike texts costs one comparison a row.
+4. Within a component of plausible links, all pairs are verified on full n-gram sets, taken
+   anew from the texts.
+5. Components of the verified links are the classes of near-duplicates.
+
+In steps 3 and 4 a large band or component is dealt to blocks, by number and by bytes, and
+each pair of blocks is a task's unit of its own: memory is bounded by two blocks, no task
+gets a whole group, and no pair is left out or emitted. What leaves a unit of step 4 are
+sums of links per class and a spanning forest.
+
+Recall: a pair at similarity s shares a band with probability 1 - (1 - s^rows)^bands at
+least, 0.99999 at the threshold by default, and then is plausible with the probability that
+its estimate is at most SLACK = 4 deviations low, 0.99997; both are more above it, and a
+pair that shares a component through others is verified all the same.
+
+A clash of digests (odds of n^2 / 2^129) makes one class of two sets.
 
 Defined results: null text counts as empty; texts without a word have no n-gram and no
 link, not even to each other; a text of fewer words than n is one n-gram; repeated rows
@@ -33,7 +41,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,15 +56,35 @@ N = 5
 #: Similarity from which a pair is a link, as a fraction.
 THRESHOLD = (4, 5)
 RECALL = 0.99999
-ROWS = 6
-BLOCK = 128
+#: MinHash values of a text at most.
+HASHES = 256
+SLACK = 4.0
+#: Classes (and bytes of their sets) in a block of step 4, signatures in a block of step 3.
+BLOCK, BLOCK_BYTES, SIGNATURES = 128, 32 << 20, 4096
 BATCH = 256
+DIGEST = 16
 
 
-def bands_for(similarity: float, recall: float, rows: int = ROWS) -> int:
+def bands_for(similarity: float, recall: float, rows: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
+def shares_band(similarity: float, bands: int, rows: int) -> float:
+    return 1 - (1 - similarity**rows) ** bands
+
+
+def bands_and_rows(similarity: float, recall: float, most: int = HASHES) -> tuple[int, int]:
+    """(bands, rows): pairs at five eighths of the similarity share a band as seldom as `most` values allow."""
+    options = [(bands_for(similarity, recall, r), r) for r in range(1, 33)]
+    return min((o for o in options if o[0] * o[1] <= most), key=lambda o: shares_band(similarity * 5 / 8, *o), default=options[0])
+
+
+def least_matches(similarity: float, values: int, slack: float = SLACK) -> int:
+    """Of `values` signature bytes, how many agree at least where a pair is plausible; unequal values agree once in 256."""
+    low = max(0.0, similarity - slack * math.sqrt(similarity * (1 - similarity) / values))
+    return math.floor(values * (low + (1 - low) / 256))
+
+
 class MinHash:
     def __init__(self, bands: int, rows: int, seed: int = 11):
         draw = np.random.default_rng(seed)
@@ -71,8 +99,8 @@ class MinHash:
             np.minimum(out, (own[None, k : k + 2048] * self.times + self.plus).min(axis=1), out=out)
         return out
 
-    def band_hashes(self, grams: np.ndarray) -> np.ndarray:
-        values = self.signature(grams).reshape(self.bands, self.rows).astype(np.uint64)
+    def band_hashes(self, signature: np.ndarray) -> np.ndarray:
+        values = signature.reshape(self.bands, self.rows).astype(np.uint64)
         out = np.arange(1, self.bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         for k in range(self.rows):
             out = (out ^ values[:, k]) * np.uint64(0x9E3779B97F4A7C15)
@@ -80,25 +108,33 @@ class MinHash:
         return out.view(np.int64)
 
 
-def class_number(grams: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_digest(grams: np.ndarray, size: int = DIGEST) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=size).digest()
 
 
-def _signed(df: DataFrame, text_col: str, id_col: str, n: int, bands: int) -> DataFrame:
-    """id, node (null: no n-gram), size, bands."""
+def _signed(df: DataFrame, text_col: str, id_col: str, n: int, counts: tuple[int, int], digest: int) -> DataFrame:
+    """id, node (null: no n-gram), size, bands, signature."""
+    kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = MinHash(bands, ROWS)
+        own = MinHash(*counts)
+
+        def row(grams: np.ndarray) -> tuple:
+            if not len(grams):
+                return None, 0, None, None
+            values = own.signature(grams)
+            return class_digest(grams, digest), len(grams), own.band_hashes(values), values.astype(np.uint8).tobytes()
+
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                rows = [(class_number(g), len(g), own.band_hashes(g)) if len(g) else (None, 0, None) for g in ngram_sets([t or "" for t in part.column(1).to_pylist()], n)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True))], ["id", "node", "size", "bands"])
+                rows = [row(g) for g in ngram_sets([t or "" for t in part.column(1).to_pylist()], n)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["id", "node", "size", "bands", "signature"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, node long, size long, bands array<long>")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, node binary, size long, bands array<long>, signature binary")
 
 
-def _gram_rows(df: DataFrame, n: int) -> DataFrame:
+def _gram_rows(df: DataFrame, n: int, digest: int) -> DataFrame:
     """df: id, text and wanted nodes' columns. Rows whose text is of the wanted node, with its set as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,10 +142,72 @@ def _gram_rows(df: DataFrame, n: int) -> DataFrame:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 sets = ngram_sets([t or "" for t in part.column("text").to_pylist()], n)
-                mine = [k for k, (g, node) in enumerate(zip(sets, part.column("node").to_pylist(), strict=True)) if len(g) and class_number(g) == node]
+                mine = [k for k, (g, node) in enumerate(zip(sets, part.column("node").to_pylist(), strict=True)) if len(g) and class_digest(g, digest) == node]
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(mine, pa.int64())) for c in ("node", "copies", "label", "blocks")), pa.array([sets[k].tobytes() for k in mine], pa.binary())], ["node", "copies", "label", "blocks", "grams"])
 
-    return df.select("text", "node", "copies", "label", "blocks").mapInArrow(run, "node long, copies long, label long, blocks int, grams binary")
+    return df.select("text", "node", "copies", "label", "blocks").mapInArrow(run, "node binary, copies long, label binary, blocks int, grams binary")
+
+
+def _by_unit(df: DataFrame, keys: int, compare: Callable[[list[tuple]], list[tuple]], out: list[tuple[str, pa.DataType]], schema: str) -> DataFrame:
+    """df: a unit's rows together, told apart by the first columns. compare: gets a unit's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held, made = None, [], []
+
+        def batch() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*made, strict=True), out, strict=True)], [name for name, _ in out])
+            made.clear()
+            return done
+
+        for given in batches:
+            for at in range(0, given.num_rows, 64):
+                for row in zip(*(c.to_pylist() for c in given.slice(at, 64).columns), strict=True):
+                    if row[:keys] != unit:
+                        if held:
+                            made += compare(held)
+                        unit, held = row[:keys], []
+                        if len(made) > 4096:
+                            yield batch()
+                    held.append(row)
+        if held:
+            made += compare(held)
+        if made:
+            yield batch()
+
+    return df.mapInArrow(run, schema)
+
+
+def plausible_forest(signatures: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Links (a, b) that connect the rows which pairs of at least `least` equal values connect.
+
+    A row that is connected to the first one when its turn comes needs no comparison of its
+    own: a row that stays unconnected to it is compared with all."""
+    group = np.arange(len(signatures))
+    out = []
+    for k, own in enumerate(signatures):
+        if k and group[k] == group[0]:
+            continue
+        alike = np.flatnonzero((signatures == own).sum(axis=1) >= least)
+        for label in np.unique(group[alike]):
+            if label != group[k]:
+                out.append((k, int(alike[group[alike] == label][0])))
+        merged = np.isin(group, group[alike])
+        group[merged] = group[merged].min()
+    return out
+
+
+def _plausible(banded: DataFrame, classes: DataFrame, least: int, block: int) -> DataFrame:
+    """banded: node, band. Links a, b: a forest per unit of a band."""
+
+    def compare(rows: list[tuple]) -> list[tuple]:
+        nodes = [r[3] for r in rows]
+        signatures = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        return [(nodes[a], nodes[b]) for a, b in plausible_forest(signatures, least)]
+
+    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("band").alias("label"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    members = banded.withColumnRenamed("band", "label").join(buckets, "label").join(classes.select("node", "signature"), "node")
+    units = _blocks(members, "signature").select("label", "i", "j", "node", "signature").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+    return _by_unit(units, 3, compare, [("a", pa.binary()), ("b", pa.binary())], "a binary, b binary")
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -165,7 +263,7 @@ def forest(pairs: np.ndarray, size: int) -> list[tuple[int, int]]:
     return out
 
 
-VERIFIED = "node long, links long, class_links long, other long"
+VERIFIED = "node binary, links long, class_links long, other binary"
 
 
 def _verify(units: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -195,64 +293,40 @@ def _verify(units: DataFrame, threshold: tuple[int, int]) -> DataFrame:
             pairs = pairs + np.array([0, len(left)])
         return out + [(nodes[a], 0, 0, nodes[b]) for a, b in forest(pairs, len(nodes))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, held, out = None, [], []
-
-        def batch() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["node", "links", "class_links", "other"])
-            out.clear()
-            return made
-
-        for given in batches:
-            for at in range(0, given.num_rows, 64):
-                for row in zip(*(c.to_pylist() for c in given.slice(at, 64).columns), strict=True):
-                    if row[:3] != unit:
-                        if held:
-                            out += compare(held)
-                        unit, held = row[:3], []
-                        if len(out) > 4096:
-                            yield batch()
-                    held.append(row)
-        if held:
-            out += compare(held)
-        if out:
-            yield batch()
-
-    return units.mapInArrow(run, VERIFIED)
+    return _by_unit(units, 3, compare, [("node", pa.binary()), ("links", pa.int64()), ("class_links", pa.int64()), ("other", pa.binary())], VERIFIED)
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, *more: str) -> DataFrame:
     """Each row once for every pair of blocks that its own block is in."""
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = rows.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("label", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "copies", "grams")
+    return dealt.select("label", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", *more)
 
 
-def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = N, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = N, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, block: int = BLOCK, signatures: int = SIGNATURES, digest: int = DIGEST) -> DataFrame:
     """A row per row of df: id, class_id (least id of all it is linked to, through others too), rep_id (least id with an equal set), copies, links, class_links.
 
     links counts the other documents it is linked to, class_links the other sets."""
-    bands = bands_for(threshold[0] / threshold[1], recall)
-    rows = written(_signed(df, text_col, id_col, n, bands), "signed")
-    classes = written(rows.filter("node is not null").groupBy("node", "bands").agg(F.min("id").alias("rep_id"), F.count(F.lit(1)).alias("copies")), "classes")
-
-    banded = classes.select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1").drop("n")
-    stars = banded.join(buckets, "band").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    near = components(stars)
-
-    sizes = near.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    wanted = near.join(sizes, "label").join(classes.drop("bands"), "node").select(F.col("rep_id"), "node", "copies", "label", "blocks")
-    wanted = written(wanted, "wanted")
+    counts = bands_and_rows(threshold[0] / threshold[1], recall)
+    rows = written(_signed(df, text_col, id_col, n, counts, digest), "signed")
+    classes = written(rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("rep_id"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
+    least = least_matches(threshold[0] / threshold[1], counts[0] * counts[1])
+    near = components(_plausible(classes.select("node", F.explode("bands").alias("band")), classes, least, signatures))
+
+    of = classes.select("node", "rep_id", "copies", "size")
+    placed = near.join(of, "node")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") * 8 / BLOCK_BYTES)).cast("int")
+    sizes = placed.groupBy("label").agg(blocks.alias("blocks"))
+    wanted = written(placed.join(sizes, "label").select("rep_id", "node", "copies", "label", "blocks"), "wanted")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # Merged at every size: which texts are wanted grows with them.
-    units = _blocks(_gram_rows(texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("rep_id"))), n))
+    units = _blocks(_gram_rows(texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("rep_id"))), n, digest), "copies", "grams")
     verified = written(_verify(units.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j"), threshold), "verified")
 
     sums = verified.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"), F.sum("class_links").alias("class_links"))
     groups = components(verified.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    least = groups.join(classes.select("node", "rep_id"), "node").groupBy("label").agg(F.min("rep_id").alias("class_id"))
-    of_class = classes.drop("bands").join(sums, "node", "left").join(groups.join(least, "label").drop("label"), "node", "left")
+    least = groups.join(of.select("node", "rep_id"), "node").groupBy("label").agg(F.min("rep_id").alias("class_id"))
+    of_class = of.drop("size").join(sums, "node", "left").join(groups.join(least, "label").drop("label"), "node", "left")
     # Written, so the join is between two plain exchanges and a class of very many copies is split.
     found = rows.select("id", "node").join(written(of_class, "of-class"), "node", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))

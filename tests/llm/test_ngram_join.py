@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabulon.llm import ngram_join as nj
 from tabulon.llm.components import components
@@ -63,11 +64,11 @@ def corpus(seed=3, groups=12):
     return [(k, t) for k, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("block", [128, 3])
-def test_links_and_classes_equal_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "signatures"), [(128, 4096), (3, 4)])
+def test_links_and_classes_equal_brute_force(spark, block, signatures):
     rows = corpus() + [(900, "one two three"), (901, "one two three"), (902, ""), (903, None), (904, "!!!"), (905, "word " * 20_000), (906, "word word word word word")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    found = {r.id: r for r in nj.near_duplicates(df, block=block).collect()}
+    found = {r.id: r for r in nj.near_duplicates(df, block=block, signatures=signatures).collect()}
     links, least = brute(rows)
     for k, (i, _) in enumerate(rows):
         assert (found[i].links, found[i].class_id) == (links[k], least[k]), i
@@ -88,8 +89,68 @@ def test_nulls_repeats_and_clashing_names(spark):
 
 def test_bands_reach_the_recall():
     for s, recall in ((0.8, 0.99999), (0.5, 0.9)):
-        b = nj.bands_for(s, recall)
-        assert 1 - (1 - s**nj.ROWS) ** b >= recall > 1 - (1 - s**nj.ROWS) ** (b - 1)
+        bands, rows = nj.bands_and_rows(s, recall)
+        assert bands * rows <= nj.HASHES
+        assert nj.shares_band(s, bands, rows) >= recall > nj.shares_band(s, bands - 1, rows)
+    assert nj.bands_and_rows(0.8, 0.99999) == (38, 6)
+
+
+def test_unlike_texts_that_share_bands_stay_apart(spark):
+    """A chain of texts, each half like the next: candidates chain, plausible links and verified pairs don't."""
+    rng = random.Random(4)
+    words = [f"w{rng.randint(0, 10**9)}" for _ in range(30 * 3000 + 120)]
+    rows = [(k, " ".join(words[30 * k : 30 * k + 90])) for k in range(3000)]  # similarity of neighbours: about 0.5
+    near = [(5000 + k, " ".join(words[30 * k : 30 * k + 90] + ["more"])) for k in range(0, 3000, 500)]
+    df = spark.createDataFrame(rows + near, "doc_id long, text string").repartition(4)
+    counts = nj.bands_and_rows(0.8, nj.RECALL)
+    signed = nj._signed(df, "text", "doc_id", 5, counts, nj.DIGEST).cache()
+    banded = signed.select("node", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").count().filter("count > 1").count()
+    links = nj._plausible(banded, signed, nj.least_matches(0.8, counts[0] * counts[1]), nj.SIGNATURES).distinct().count()
+    assert shared > 1000 and links <= 60
+    found = {r.id: r for r in nj.near_duplicates(df).collect()}
+    assert sum(r.links for r in found.values()) == 2 * len(near)
+    assert all(found[i].class_id == i - 5000 for i, _ in near)
+
+
+def test_clashing_digests_make_one_class(spark):
+    rows = [(k, f"text number {k} has some words of its own {k * 7}") for k in range(600)]
+    found = nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), digest=1).collect()
+    assert sorted(r.id for r in found) == list(range(600))
+
+
+def test_recall_of_planted_pairs(spark):
+    rng = random.Random(6)
+    rows, wanted = [], 0
+    for k in range(400):
+        base = [f"v{rng.randint(0, 10**9)}" for _ in range(200)]
+        other = list(base)
+        for at in rng.sample(range(200), rng.randint(1, 5)):
+            other[at] = f"x{rng.randint(0, 10**9)}"
+        a, b = (own for _, own in sets_of([(0, " ".join(base)), (1, " ".join(other))]))
+        wanted += 9 * len(a & b) >= 4 * (len(a) + len(b))
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    found = nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).agg(F.sum("links")).first()[0]
+    assert wanted > 100 and found == 2 * wanted
+
+
+def test_forests_connect_what_pairs_connect():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        n = rng.integers(1, 40)
+        own = rng.integers(0, 4, (n, 12)).astype(np.uint8)
+        least = int(rng.integers(3, 12))
+        alike = (own[:, None, :] == own[None, :, :]).sum(axis=2) >= least
+
+        def parts(pairs):
+            label = list(range(n))
+            for a, b in pairs:
+                x, y = label[a], label[b]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+            return label
+
+        found = nj.plausible_forest(own, least)
+        assert all(alike[a, b] for a, b in found) and parts(found) == parts(np.argwhere(alike).tolist())
 
 
 def test_minhash_estimates_similarity():
