@@ -4,8 +4,8 @@ A token is a run of letters, digits and characters outside ASCII, or a run of ot
 printable characters; case counts. Tokens are hashed to BUCKETS rows. Each row's index
 vector is sparse, with NONZERO entries of +1 or -1, and its word vector is the sum of the
 index vectors of the tokens beside it, over all whole texts of the corpus. Each task adds
-up a table of its own (BUCKETS x DIMENSIONS, a fixed size), and the tables are summed
-slice by slice, first in salted groups. Word vectors are then centred and scaled to unit
+up a table of its own (BUCKETS x DIMENSIONS whole numbers, a fixed size), and the tables are summed slice by
+slice, first in salted groups; sums are exact, so the order of tasks changes nothing. Word vectors are then centred and scaled to unit
 length.
 
 A document is pooled as the mean and the standard deviation of its tokens' vectors, the
@@ -113,25 +113,25 @@ def word_vectors(df: DataFrame, text_col: str = "text") -> np.ndarray:
                 for texts in portions([t or "" for t in batch.column(0).slice(at, BATCH).to_pylist()]):
                     total += neighbours(texts, places, signs)
         salt = TaskContext.get().partitionId() % SALTS
-        parts = [x.astype(np.float32).tobytes() for x in np.split(total, SLICES)]
+        parts = [x.astype(np.int64).tobytes() for x in np.split(total, SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int32()), pa.array(parts, pa.binary())], ["slice", "salt", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
             for k, salt, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(raw, np.float32).astype(np.float64)
+                own = np.frombuffer(raw, np.int64)
                 sums[k, salt] = sums[k, salt] + own if (k, salt) in sums else own
         for (k, salt), own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([salt], pa.int32()), pa.array([own.astype(np.float32).tobytes()], pa.binary())], ["slice", "salt", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([salt], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["slice", "salt", "sums"])
 
     schema = "slice int, salt int, sums binary"
     salted = df.select(text_col).mapInArrow(count, schema).repartition("slice", "salt").mapInArrow(add, schema)
     sliced = salted.withColumn("salt", F.lit(0)).repartition("slice").mapInArrow(add, schema)
-    sums = np.zeros((SLICES, BUCKETS * DIMENSIONS // SLICES), np.float32)
+    sums = np.zeros((SLICES, BUCKETS * DIMENSIONS // SLICES), np.int64)
     for r in sliced.collect():  # a row per slice
-        sums[r["slice"]] = np.frombuffer(r["sums"], np.float32)
-    return scaled(sums.reshape(BUCKETS, DIMENSIONS))
+        sums[r["slice"]] = np.frombuffer(r["sums"], np.int64)
+    return scaled(sums.reshape(BUCKETS, DIMENSIONS).astype(float))
 
 
 def scaled(sums: np.ndarray) -> np.ndarray:

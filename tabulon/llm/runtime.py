@@ -17,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as the session's spark.checkpoint.dir names it.
 
-    Only where the cluster names none (local tests) a temporary folder is set."""
+    Only a local master may do without (tests): a temporary folder is set then."""
     found = spark.conf.get(SHARED, None) or spark.sparkContext.getConf().get(SHARED, None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"a cluster must name a folder that all executors see in {SHARED}")
         found = "file://" + tempfile.mkdtemp(prefix="tabulon-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -37,9 +39,3 @@ def written(df: DataFrame, what: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store through Hadoop's own file system."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

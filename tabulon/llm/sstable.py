@@ -15,13 +15,14 @@ a 4-byte repeat number, so byte order is identifier order and repeated rows stay
 A null identifier has the empty prefix and comes first. A value is ids of 16 bits, or of
 32 after a marker byte.
 
-Rows are range-partitioned by identifier: a shard holds one range, and shards in order
-are the whole table. Each task writes under a name of its own and renames, so a task that
+Rows are range-partitioned by identifier and by the text's hash within one, so neither a
+large table nor rows of one identifier make a large shard: there are as many ranges as give
+SHARD_BYTES of text each, and a shard holds one. Shards in order are the whole table. Each task writes under a name of its own and renames, so a task that
 runs again leaves one good shard. Only a row per shard goes through a single task (the
 prefix sums of token counts).
 
 Defined results: null text counts as empty and an empty text is the end id alone;
-repeated identifiers keep all rows, in order of their ids' digests; an empty table writes
+repeated identifiers keep all rows, in order of their texts' hashes; an empty table writes
 no shard; other columns are ignored.
 """
 
@@ -43,6 +44,8 @@ from pyspark.sql import functions as F
 from tabulon.llm.runtime import fresh_path, table
 from tabulon.llm.tokens import LITTLE, WordBpe, encoder
 
+#: Of text, about, in a shard: its keys and index are held in memory.
+SHARD_BYTES = 256 << 20
 MAGIC = b"TABSST01"
 FOOTER = struct.Struct("<QIQIQQ8s")
 BITS, PROBES, BLOCK = 10, 7, 256 * 1024
@@ -228,8 +231,12 @@ def write_tables(df: DataFrame, folder: str, text_col: str = "text", id_col: str
     import public_tokenizers
 
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    n = shards or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
+    given = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if not shards:
+        size = given.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        shards = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    order = [F.col("id").asc_nulls_first(), F.col("hash")]
+    ranged = given.withColumn("hash", F.xxhash64("text")).repartitionByRange(shards, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -242,19 +249,7 @@ def write_tables(df: DataFrame, folder: str, text_col: str = "text", id_col: str
                 for k in range(batch.num_rows):
                     yield names[k].as_py(), np.concatenate([own.encode(texts[k].as_py()), end])
 
-        def ordered():
-            """Rows of one identifier in order of their ids, so a second run writes the same."""
-            same: list[np.ndarray] = []
-            last = None
-            for name, ids in encoded():
-                if same and name != last:
-                    yield from ((last, x) for x in sorted(same, key=lambda x: x.tobytes()))
-                    same = []
-                same.append(ids)
-                last = name
-            yield from ((last, x) for x in sorted(same, key=lambda x: x.tobytes()))
-
-        made = write_shard(folder, TaskContext.get().partitionId(), ordered())
+        made = write_shard(folder, TaskContext.get().partitionId(), encoded())
         if made:
             yield pa.RecordBatch.from_pylist([made])
 

@@ -182,3 +182,25 @@ def test_all_words_of_a_language_are_counted(spark):
     wanted = {run[k : k + 4] for k in range(6000 - 3) if not 4093 <= k <= 4095}
     keys = [lid.hashes(np.frombuffer(g.encode("utf-32-le"), np.uint32).astype(np.uint64), 4)[0] for g in wanted]
     assert np.isin(np.array(keys), grams).all()
+
+
+def test_language_query_over_a_whole_table(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    found = lid.op8_language_id(spark, folder).collect()
+    assert len(found) == len(docs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in found)
+    held = [r for r in found if r.held_out and docs[r.doc_id].lang not in (None, "und")]
+    assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) >= 0.98 * len(held)
+    assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in docs[r.doc_id].text or "")) for r in found)
+
+
+def test_quality_query_over_a_whole_table(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    found = quality.op2_quality(spark, folder).collect()
+    assert len(found) == spark.read.parquet(f"{folder}/documents.parquet").count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.7) for r in found)
+    held = [(r.score, labels[r.doc_id]) for r in found if r.held_out and r.doc_id in labels]
+    good, bad = [s for s, y in held if y], [s for s, y in held if not y]
+    auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    assert auc > 0.97
