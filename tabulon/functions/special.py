@@ -1,7 +1,8 @@
 """Distribution functions over numpy arrays, and the column functions made of them.
 
 Built from the incomplete gamma and beta functions (series and continued fractions, Lentz's
-form) and bisection for inverses. Each column function is a pandas UDF: whole Arrow batches,
+form, as many parts as the arguments need; the uniform expansion for gamma functions of
+large arguments) and bisection for inverses. Each column function is a pandas UDF: whole Arrow batches,
 never a row at a time. Nulls and arguments outside a function's domain give null.
 """
 
@@ -19,6 +20,11 @@ from pyspark.sql import functions as F
 log_gamma = np.vectorize(lambda x: math.lgamma(x) if x > 0 else math.nan, otypes=[float])
 erf = np.vectorize(math.erf, otypes=[float])
 TINY, STEPS = 1e-300, 400
+#: From here the incomplete gamma function is expanded, to some 1e-10; below, STEPS terms suffice.
+LARGE = 1000.0
+# The expansion's first two coefficients as power series.
+FIRST = (-1 / 3, 1 / 12, -2 / 135, 1 / 864, 1 / 2835, -0.000178755144032922, 3.91926317852244e-05)
+SECOND = (-1 / 540, -1 / 288, 1 / 378, -0.000990226337448560, 0.000205761316872428)
 NORMAL = statistics.NormalDist()
 
 
@@ -74,13 +80,29 @@ def _lentz(first: np.ndarray, step: Callable[[int], tuple], steps: int = STEPS)
     return h
 
 
+def _expanded(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The regularised lower incomplete gamma function of a large a, uniformly in x."""
+    m = x / a - 1
+    half = np.where(np.abs(m) < 1e-3, m * m * (0.5 - m / 3 + m * m / 4 - m**3 / 5), m - np.log1p(m))
+    eta = np.sign(m) * np.sqrt(2 * half)
+    near = np.abs(eta) < 0.1
+    e, d = np.where(near, 1.0, eta), np.where(near, 1.0, m)
+    first = np.where(near, np.polynomial.polynomial.polyval(eta, FIRST), 1 / d - 1 / e)
+    second = np.where(near, np.polynomial.polynomial.polyval(eta, SECOND), 1 / e**3 - 1 / d**3 - 1 / d**2 - 1 / (12 * d))
+    rest = np.exp(-a * half) / np.sqrt(2 * np.pi * a) * (first + second / a)
+    return np.clip(0.5 * (1 + erf(eta * np.sqrt(a / 2))) - rest, 0, 1)
+
+
 def gamma_p(a, x):
     """Regularised lower incomplete gamma function."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.maximum(np.asarray(x, float), 0))
     shape, a, x = a.shape, np.atleast_1d(a), np.atleast_1d(x)
     out = np.zeros(a.shape)
-    low, high = (x > 0) & (x < a + 1), x >= a + 1
+    large = (a > LARGE) & (x > 0)
+    low, high = (x > 0) & (x < a + 1) & ~large, (x >= a + 1) & ~large
     with np.errstate(all="ignore"):
+        if large.any():
+            out[large] = _expanded(a[large], x[large])
         for own in (low, high):
             u, v = a[own], x[own]
             front = np.exp(-v + u * np.log(np.maximum(v, TINY)) - log_gamma(u))
@@ -104,7 +126,8 @@ def beta_i(a, b, x):
                 return -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)), np.ones_like(x)
             return m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), np.ones_like(x)
 
-        return _lentz(np.ones_like(x), step, 2 * STEPS)
+        most = np.nanmax(np.abs(np.concatenate([np.ravel(a), np.ravel(b)])), initial=1)
+        return _lentz(np.ones_like(x), step, 2 * STEPS + int(10 * min(most, 1e14) ** 0.5))
 
     with np.errstate(all="ignore"):
         front = np.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * np.log(np.maximum(x, TINY)) + b * np.log(np.maximum(1 - x, TINY)))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tabulon.functions.formula import render
 from tabulon.functions.numbering import a1_name, a1_position
 from tabulon.operators.ranges import halved
+from tabulon.operators.steps import kept
 
 
 def vlookup(df: DataFrame, probe: str, lookup: DataFrame, key: str, values: list[str], approximate: bool = False) -> DataFrame:
@@ -194,16 +195,15 @@ def traced(references: DataFrame, start: DataFrame, forwards: bool = False, dept
 
     Walked until nothing new is found, or `depth` steps if given; each step is kept, so plans stay short."""
     here, there = ("refers", "cell") if forwards else ("cell", "refers")
-    keep = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
     step = references.select(F.col(here).alias("cell"), F.col(there).alias("__next"))
-    found = near = keep(start.select("cell").distinct())
+    found = near = kept(start.select("cell").distinct())
     k = 0
     while depth is None or k < depth:
         k += 1
-        near = keep(near.join(step, "cell").select(F.col("__next").alias("cell")).distinct().join(found, "cell", "left_anti"))
+        near = kept(near.join(step, "cell").select(F.col("__next").alias("cell")).distinct().join(found, "cell", "left_anti"))
         if near.isEmpty():
             break
         found = found.unionByName(near)
         if k % 16 == 0:
-            found = keep(found.coalesce(8))
+            found = kept(found.coalesce(8))
     return found

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.operators.steps import kept
 from tabulon.plans.specs import Range
 
 #: Columns and last row of a sheet, unless the document says otherwise.
@@ -160,19 +159,17 @@ def fused_columns(boxes: DataFrame, by: list[str], x: str, width: str) -> DataFr
     return placed.withColumn("column", F.dense_rank().over(Window.partitionBy(*by).orderBy("__x")) - 1).drop("__half", "__x")
 
 
-def inherited(styles: DataFrame, items: DataFrame, depth: int = 32) -> DataFrame:
+def inherited(styles: DataFrame, items: DataFrame) -> DataFrame:
     """Style items with those of parents that the style lacks. styles: name, parent; items: name, item, value.
 
-    Nearest ancestor wins; a missing parent ends the chain, a cycle too. Styles are few: the chain is walked level by level, all styles at once."""
-    line = styles.select(F.col("name"), F.col("name").alias("ancestor"), F.lit(0).alias("level"), F.array("name").alias("seen"))
-    levels = [line]
-    up = styles.select(F.col("name").alias("ancestor"), F.col("parent").alias("next"))
-    for k in range(1, depth + 1):
-        line = levels[-1].join(up, "ancestor").filter(F.col("next").isNotNull() & ~F.array_contains("seen", F.col("next")))
-        line = line.select("name", F.col("next").alias("ancestor"), F.lit(k).alias("level"), F.concat("seen", F.array("next")).alias("seen"))
-        if k % 4 == 0 and line.isEmpty():
-            break
-        levels.append(line)
-    chain = reduce(DataFrame.unionByName, levels)
+    Nearest ancestor wins; a missing parent ends the chain, a cycle too. Each round doubles the levels that are known, until no style gets a further ancestor."""
+    up = styles.filter("parent is not null and parent <> name").select("name", F.col("parent").alias("ancestor"), F.lit(1).alias("level"))
+    chain = kept(styles.select("name", F.col("name").alias("ancestor"), F.lit(0).alias("level")).unionByName(up).groupBy("name", "ancestor").agg(F.min("level").alias("level")))
+    known, last = chain.count(), -1
+    while known > last:
+        further = chain.select(F.col("name").alias("ancestor"), F.col("ancestor").alias("next"), F.col("level").alias("more"))
+        chain = kept(chain.join(further, "ancestor").groupBy("name", F.col("next").alias("ancestor")).agg(F.min(F.col("level") + F.col("more")).alias("level")))
+        known, last = chain.count(), known
+    chain = chain.join(styles.select(F.col("name").alias("ancestor")).distinct(), "ancestor")
     own = chain.join(items.select(F.col("name").alias("ancestor"), "item", "value"), "ancestor")
     return own.groupBy("name", "item").agg(F.min_by("value", "level").alias("value"), F.min("level").alias("level"))

@@ -117,10 +117,10 @@ def subtotal_three(spark, d):
     return query.subtotals(read(spark, d, "lineitem"), spec).withColumns({"sum_l_quantity": r("sum_l_quantity", 2), "average_l_discount": r("average_l_discount", 6)})
 
 
-@register("""SELECT c_custkey, c_mktsegment, c_nationkey, c_acctbal, 0 AS level, NULL AS sum_c_acctbal FROM customer WHERE c_nationkey < 5
-UNION ALL SELECT NULL, c_mktsegment, NULL, NULL, CAST(grouping(c_mktsegment) + 1 AS INTEGER), round(sum(c_acctbal), 2) FROM customer WHERE c_nationkey < 5 GROUP BY ROLLUP (c_mktsegment)""")
+@register("""SELECT c_custkey, c_mktsegment, c_nationkey, c_acctbal, 0 AS level, NULL AS sum_c_acctbal FROM customer
+UNION ALL SELECT NULL, c_mktsegment, NULL, NULL, CAST(grouping(c_mktsegment) + 1 AS INTEGER), round(sum(c_acctbal), 2) FROM customer GROUP BY ROLLUP (c_mktsegment)""")
 def subtotal_detail(spark, d):
-    rows = read(spark, d, "customer").filter("c_nationkey < 5").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
+    rows = read(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
     return query.with_subtotals(rows, Subtotal((Group("c_mktsegment", (("c_acctbal", "sum"),)),))).withColumn("sum_c_acctbal", r("sum_c_acctbal", 2))
 
 
@@ -272,11 +272,11 @@ def fn_countif_sumif(spark, d):
     return aggregated(read(spark, d, "orders"), ["o_orderstatus"], {"n": ("countif", when), "s": ("sumif", when, "o_totalprice"), "blank": ("countblank", "o_orderpriority")}, 2)
 
 
-@register("SELECT count(*) AS n, round(exp(sum(ln(1 + l_tax))), 4) AS prod, round(sum(l_discount / power(1.1, l_linenumber)), 4) AS npv, round(sum(l_quantity * l_quantity - l_tax * l_tax), 2) AS d2, round(sum((l_quantity - l_tax) * (l_quantity - l_tax)), 2) AS dd FROM lineitem WHERE l_orderkey < 40")
+@register("SELECT l_orderkey, count(*) AS n, round(exp(sum(ln(1 + l_tax))), 4) AS prod, round(sum(l_discount / power(1.1, l_linenumber)), 4) AS npv, round(sum(l_quantity * l_quantity - l_tax * l_tax), 6) AS d2, round(sum((l_quantity - l_tax) * (l_quantity - l_tax)), 6) AS dd FROM lineitem GROUP BY l_orderkey")
 def fn_sumproduct(spark, d):
-    rows = read(spark, d, "lineitem").filter("l_orderkey < 40").withColumn("t1", 1 + c("l_tax"))
+    rows = read(spark, d, "lineitem").withColumn("t1", 1 + c("l_tax"))
     b = lambda f, *a: FUNCTIONS[f].build(*a)
-    return rows.agg(F.count(F.lit(1)).alias("n"), r(b("product", c("t1"))).alias("prod"), r(b("npv", 0.1, c("l_discount"), c("l_linenumber"))).alias("npv"), r(b("sumx2my2", c("l_quantity"), c("l_tax")), 2).alias("d2"), r(b("sumxmy2", c("l_quantity"), c("l_tax")), 2).alias("dd"))
+    return rows.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), r(b("product", c("t1"))).alias("prod"), r(b("npv", 0.1, c("l_discount"), c("l_linenumber"))).alias("npv"), r(b("sumx2my2", c("l_quantity"), c("l_tax")), 6).alias("d2"), r(b("sumxmy2", c("l_quantity"), c("l_tax")), 6).alias("dd"))
 
 
 # Lookups and matrices.
@@ -306,17 +306,19 @@ def fn_match(spark, d):
     return lookup.match(read(spark, d, "customer"), "c_nationkey", places, "n_nationkey", "p").select("c_custkey", "position")
 
 
-MATRIX = "SELECT vec_id AS i, k, CAST(embedding[k + 1] AS DOUBLE) AS v FROM embeddings, range(0, 8) t(k) WHERE vec_id < 60"
+MATRIX = "SELECT vec_id AS i, unnest(range(0, len(embedding))) AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings"
 
 
 def _vectors(spark, d) -> DataFrame:
-    return read(spark, d, "embeddings").filter("vec_id < 60").select(c("vec_id").alias("i"), F.posexplode(F.slice("embedding", 1, 8)).alias("k", "v")).withColumn("v", c("v").cast("double"))
+    return read(spark, d, "embeddings").select(c("vec_id").alias("i"), F.posexplode("embedding").alias("k", "v")).withColumn("v", c("v").cast("double"))
 
 
-@register(f"WITH a AS ({MATRIX}) SELECT x.i, y.i AS j, round(sum(x.v * y.v), 6) AS v FROM a x JOIN a y ON x.k = y.k GROUP BY x.i, y.i")
+@register(f"WITH a AS ({MATRIX}) SELECT i, j, round(sum(v * ((k * (j + 3)) % 7 - 3)), 6) AS v FROM a, range(0, 4) t(j) GROUP BY i, j")
 def fn_mmult(spark, d):
+    """All vectors, as rows of a matrix, by one of four columns."""
     a = _vectors(spark, d)
-    return matrix.multiply(a, a.select("k", c("i").alias("j"), "v")).withColumn("v", r("v", 6))
+    b = a.select("k").distinct().withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("v", (c("k") * (c("j") + 3) % 7 - 3).cast("double"))
+    return matrix.multiply(a, b).withColumn("v", r("v", 6))
 
 
 @register(f'WITH a AS ({MATRIX}) SELECT CAST(k AS INTEGER) AS "row", i AS col, v FROM a')
@@ -418,9 +420,9 @@ def format_text(spark, d):
     return read(spark, d, "orders").select("o_orderkey", formats.formatted(c("o_orderdate"), "DD.MM.YYYY").alias("day"), formats.formatted(c("o_totalprice"), "0.00").alias("price"))
 
 
-@register("SELECT p_partkey, CASE WHEN k BETWEEN 1 AND 4 THEN 'decimal' WHEN k BETWEEN 10 AND 11 THEN 'percent' WHEN k BETWEEN 20 AND 23 THEN 'currency' WHEN k BETWEEN 30 AND 36 THEN 'date' WHEN k BETWEEN 40 AND 45 THEN 'time' WHEN k = 50 THEN 'datetime' WHEN k = 0 THEN 'general' ELSE 'number' END AS kind FROM (SELECT p_partkey, p_size AS k FROM part WHERE p_size <= 59)")
+@register("SELECT p_partkey, CASE WHEN k BETWEEN 1 AND 4 THEN 'decimal' WHEN k BETWEEN 10 AND 11 THEN 'percent' WHEN k BETWEEN 20 AND 23 THEN 'currency' WHEN k BETWEEN 30 AND 36 THEN 'date' WHEN k BETWEEN 40 AND 45 THEN 'time' WHEN k = 50 THEN 'datetime' WHEN k = 0 THEN 'general' ELSE 'number' END AS kind FROM (SELECT p_partkey, p_size AS k FROM part)")
 def format_kinds(spark, d):
-    return read(spark, d, "part").filter("p_size <= 59").select("p_partkey", formats.value_type(c("p_size")).alias("kind"))
+    return read(spark, d, "part").select("p_partkey", formats.value_type(c("p_size")).alias("kind"))
 
 
 # Cells, runs, styles.
@@ -453,13 +455,13 @@ def row_blocks(spark, d):
     return ranges.row_blocks(bounds, ["o_custkey"], "o_orderkey", "hi")
 
 
-@register("""WITH RECURSIVE s AS (SELECT p_partkey AS name, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent FROM part WHERE p_partkey <= 64), t AS (SELECT name, name AS anc, 0 AS level FROM s UNION ALL SELECT t.name, s.parent, t.level + 1 FROM t JOIN s ON t.anc = s.name WHERE s.parent IS NOT NULL),
-i AS (SELECT p_partkey AS name, p_brand AS item, p_type AS value FROM part WHERE p_partkey <= 64 AND p_partkey % 3 = 0) SELECT name, item, min_by(value, level) AS value, min(level) AS level FROM t JOIN i ON t.anc = i.name GROUP BY t.name, item""".replace("SELECT name, item, min_by", "SELECT t.name, item, min_by"))
+@register("""WITH RECURSIVE s AS (SELECT p_partkey AS name, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent FROM part), t AS (SELECT name, name AS anc, 0 AS level FROM s UNION ALL SELECT t.name, s.parent, t.level + 1 FROM t JOIN s ON t.anc = s.name WHERE s.parent IS NOT NULL),
+i AS (SELECT p_partkey AS name, p_brand AS item, p_type AS value FROM part) SELECT name, item, min_by(value, level) AS value, min(level) AS level FROM t JOIN i ON t.anc = i.name GROUP BY t.name, item""".replace("SELECT name, item, min_by", "SELECT t.name, item, min_by"))
 def style_inheritance(spark, d):
-    part = read(spark, d, "part").filter("p_partkey <= 64")
+    part = read(spark, d, "part")
     styles = part.select(c("p_partkey").alias("name"), F.when(c("p_partkey") > 1, F.floor(c("p_partkey") / 2)).alias("parent"))
-    items = part.filter("p_partkey % 3 = 0").select(c("p_partkey").alias("name"), c("p_brand").alias("item"), c("p_type").alias("value"))
-    return ranges.inherited(styles, items, 8)
+    items = part.select(c("p_partkey").alias("name"), c("p_brand").alias("item"), c("p_type").alias("value"))
+    return ranges.inherited(styles, items)
 
 
 # Text documents.
@@ -471,10 +473,11 @@ def doc_stats(spark, d):
 
 
 @register("""SELECT doc_id, CAST(b AS INTEGER) AS "begin", CAST(e AS INTEGER) AS "end", CASE WHEN b >= 10 AND e <= 50 AND b >= 30 AND e <= 80 THEN 'bold,italic' WHEN b >= 10 AND e <= 50 THEN 'bold' WHEN b >= 30 AND e <= 80 THEN 'italic' ELSE '' END AS attributes
-FROM (SELECT doc_id, pos AS b, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM (SELECT doc_id, unnest([0, 10, 30, 50, 80, length(text)]) AS pos FROM documents WHERE length(text) > 100)) WHERE e IS NOT NULL""")
+FROM (SELECT doc_id, pos AS b, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM (SELECT DISTINCT doc_id, unnest([0, least(10, n), least(30, n), least(50, n), least(80, n), n]) AS pos FROM (SELECT doc_id, length(text) AS n FROM documents))) WHERE e IS NOT NULL""")
 def attr_ranges(spark, d):
-    texts = read(spark, d, "documents").select("doc_id", "text").filter(F.char_length("text") > 100)
-    marks = texts.select("doc_id", F.explode(F.array(F.struct(F.lit(10).alias("begin"), F.lit(50).alias("end"), F.lit("bold").alias("attribute")), F.struct(F.lit(30).alias("begin"), F.lit(80).alias("end"), F.lit("italic").alias("attribute")))).alias("m")).select("doc_id", "m.*")
+    texts = read(spark, d, "documents").select("doc_id", "text")
+    mark = lambda begin, end, name: F.struct(F.lit(begin).alias("begin"), F.least(F.lit(end), F.char_length("text")).alias("end"), F.lit(name).alias("attribute"))
+    marks = texts.select("doc_id", F.explode(F.array(mark(10, 50, "bold"), mark(30, 80, "italic"))).alias("m")).select("doc_id", "m.*").filter(c("begin") < c("end"))
     out = text.attributed(texts, marks, ["doc_id"])
     return out.select("doc_id", "begin", "end", F.array_join("attributes", ",").alias("attributes"))
 
@@ -496,9 +499,9 @@ def field_expand_conditional(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", text.hidden_text(c("role") == "user", F.lit("asks|says")).alias("text"))
 
 
-@register("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS chapter FROM conversations")
+@register("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS chapter FROM conversations")
 def field_chapter(spark, d):
-    return text.chapter(read(spark, d, "conversations"), ["conv_id"], "turn", F.when(c("role") == "user", F.left("text", F.lit(20)))).select("conv_id", "turn", "chapter")
+    return text.chapter(read(spark, d, "conversations"), ["conv_id"], "turn", F.when(c("role") == "user", c("text"))).select("conv_id", "turn", "chapter")
 
 
 @register("SELECT conv_id, turn, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS sequence FROM conversations")
@@ -572,10 +575,10 @@ def colours_and_units(spark, d):
     return read(spark, d, "part").select("p_partkey", numbering.colour_text(c("p_partkey") * 7919 % 16777216).alias("colour"), numbering.scaled(c("p_size").cast("double"), "point", "twip").alias("twips"))
 
 
-@register("SELECT p_partkey, gcd(p_size, 36) AS g, lcm(p_size, 12) AS l, p_size // 1 AS i, CASE WHEN p_size % 2 = 0 THEN p_size ELSE p_size + 1 END AS ev FROM part WHERE p_size > 0")
+@register("SELECT p_partkey, gcd(p_size, 36) AS g, lcm(p_size, 12) AS l, p_size // 1 AS i, CASE WHEN p_size % 2 = 0 THEN p_size ELSE p_size + 1 END AS ev FROM part")
 def fn_whole_numbers(spark, d):
     made = {"g": "GCD([p_size]; 36)", "l": "LCM([p_size]; 12)", "i": "INT([p_size])", "ev": "EVEN([p_size])"}
-    return read(spark, d, "part").filter("p_size > 0").select("p_partkey", *(compile_text(t).cast("long").alias(k) for k, t in made.items()))
+    return read(spark, d, "part").select("p_partkey", *(compile_text(t).cast("long").alias(k) for k, t in made.items()))
 
 
 @register("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

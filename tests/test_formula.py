@@ -1,5 +1,8 @@
 import datetime
+import math
+import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +127,26 @@ def test_easter_and_days360(spark):
 def test_convert_and_trim(spark):
     row = spark.range(1).select(formula.convert(F.lit(100.0), "C", "F").alias("f"), formula.convert(F.lit(1.0), "mi", "km").alias("k"), formula.convert(F.lit(1.0), "m", "kg").alias("n")).first()
     assert row.f == pytest.approx(212) and row.k == pytest.approx(1.609344) and row.n is None
+
+
+@pytest.mark.parametrize("a", [1e2, 999.0, 1001.0, 1e4, 1e5, 1e6, 1e7, 1e8])
+def test_gamma_of_large_arguments(a):
+    # The median of a gamma distribution lies a third below a, so just over half lies below a.
+    assert special.gamma_p(a, a) == pytest.approx(0.5 + 1 / (3 * math.sqrt(2 * math.pi * a)), abs=1e-3 / a**1.0)
+    assert special.gamma_p(a, a - 1 / 3) == pytest.approx(0.5, abs=1e-2 / a)
+    for z in (-6, -2, -0.5, 0.5, 2, 6):  # by the cube root's normal approximation
+        x = a * (1 - 1 / (9 * a) + z / (3 * math.sqrt(a))) ** 3
+        assert special.gamma_p(a, x) == pytest.approx(statistics.NormalDist().cdf(z), rel=0.2 if abs(z) > 5 else 0.01, abs=2e-3 / math.sqrt(a))
+
+
+def test_gamma_meets_at_the_expansion():
+    x = np.linspace(800, 1250, 91)
+    series = special.gamma_p(np.full(91, 1000.0), x)
+    assert np.abs(special._expanded(np.full(91, 1000.0), x) - series).max() < 1e-9
+
+
+def test_beta_of_large_arguments():
+    for n in (10.0, 1e3, 1e5, 1e7):
+        assert special.beta_i(n, n, 0.5) == pytest.approx(0.5, abs=1e-7)
+        x = 0.5 + 1 / (2 * math.sqrt(2 * n + 1))  # one standard deviation
+        assert special.beta_i(n, n, x) == pytest.approx(0.841345, abs=0.02 / math.sqrt(n) + 1e-4)

@@ -168,3 +168,9 @@ def test_pilot_keeps_all_members(spark):
     df = spark.range(300).select(F.lit("r").alias("row"), F.format_string("m%03d", "id").alias("col"), F.col("id").alias("v"))
     found = query.pilot(df, Pilot((Dimension("row"), Dimension("col", "column"), Dimension("v", "data", "sum")))).first().asDict()
     assert {k: v for k, v in found.items() if k != "row"} == {f"m{k:03d}_sum_v": k for k in range(300)}
+
+
+def test_styles_of_any_depth(spark):
+    styles = spark.createDataFrame([(k, k - 1 if k else None) for k in range(45)], "name long, parent long")
+    found = ranges.inherited(styles, spark.createDataFrame([(0, "colour", "red")], "name long, item string, value string")).collect()
+    assert sorted((r.name, r.level) for r in found) == [(k, k) for k in range(45)]
