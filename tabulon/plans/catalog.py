@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import formats, formula, numbering
 from tabulon.functions.formula import FUNCTIONS, compile_text
-from tabulon.operators import emit, lookup, matrix, query, ranges, text
+from tabulon.operators import emit, lookup, matrix, names, query, ranges, text
 from tabulon.plans.specs import Dimension, Entry, Group, Key, Pilot, Query, Rule, Sort, Subtotal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -409,7 +409,9 @@ def a1_names(spark, d):
     return read(spark, d, "part").select("p_partkey", numbering.a1_name(c("p_partkey") % 702, c("p_partkey")).alias("name"))
 
 
-@register()
+@register("""SELECT p_partkey, (['', 'M', 'MM', 'MMM'])[n // 1000 + 1] || (['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'])[n // 100 % 10 + 1] || (['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'])[n // 10 % 10 + 1] || (['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'])[n % 10 + 1] AS roman,
+CASE WHEN n > 702 THEN chr(CAST(64 + (n - 703) // 676 + 1 AS INTEGER)) ELSE '' END || CASE WHEN n > 26 THEN chr(CAST(65 + ((n - 1) // 26 - 1) % 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + (n - 1) % 26 AS INTEGER)) AS alpha, CAST(n AS INTEGER) AS back
+FROM (SELECT p_partkey, p_partkey % 3999 + 1 AS n FROM part)""")
 def roman_alpha(spark, d):
     n = (c("p_partkey") % 3999 + 1).cast("int")
     return read(spark, d, "part").select("p_partkey", numbering.roman(n).alias("roman"), numbering.alphabetic(n).alias("alpha"), numbering.from_roman(numbering.roman(n)).alias("back"))
@@ -617,3 +619,72 @@ def named_formula(spark, d):
 
     book = Workbook(read(spark, d, "nation"), formulas={"twice": "[n_nationkey] * 2", "more": "[twice] + [n_regionkey]"})
     return book.cells.select(book.formula("more").alias("more"))
+
+
+@register("SELECT p_partkey, CAST(p_partkey % 702 AS INTEGER) AS col, CAST(p_partkey AS INTEGER) AS row FROM part")
+def a1_positions(spark, d):
+    at = numbering.a1_position(numbering.a1_name(c("p_partkey") % 702, c("p_partkey"), True, True))
+    return read(spark, d, "part").select("p_partkey", at.alias("at")).select("p_partkey", "at.col", "at.row")
+
+
+@register("""SELECT c_custkey, sheet_name, '[' || COALESCE(sheet_name, '') || '.$' || CASE WHEN k < 26 THEN chr(CAST(65 + k AS INTEGER)) ELSE chr(CAST(64 + k // 26 AS INTEGER)) || chr(CAST(65 + k % 26 AS INTEGER)) END || CAST(c_custkey + 1 AS VARCHAR) || ']' AS ref
+FROM (SELECT c_custkey, c_custkey % 702 AS k, CASE WHEN c_nationkey <> c_custkey % 25 THEN n_name END AS sheet_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey)""")
+def sheet_references(spark, d):
+    sheets = read(spark, d, "nation").select(F.lit(0).alias("doc_id"), c("n_nationkey").alias("sheet_id"), c("n_name").alias("name"))
+    given = read(spark, d, "customer").select("c_custkey", F.lit(0).alias("doc_id"), c("c_nationkey").alias("sheet_id"), (c("c_custkey") % 25).alias("own_sheet_id"))
+    named = names.with_sheet_names(given, sheets)
+    return named.select("c_custkey", "sheet_name", names.reference_text(c("c_custkey") % 702, c("c_custkey"), c("sheet_name"), True).alias("ref"))
+
+
+@register("SELECT o_orderkey, CASE WHEN k % 25 < 24 THEN strftime(o_orderdate, '%Y-%m-%d') || printf('T%02d:%02d:%02d.%02d', k % 25, k % 60, k % 59, k % 100) END AS moment FROM (SELECT *, CAST(o_orderkey AS BIGINT) AS k FROM orders)")
+def packed_moments(spark, d):
+    k = c("o_orderkey")
+    day, time = F.date_format("o_orderdate", "yyyyMMdd").cast("int"), k % 25 * 1000000 + k % 60 * 10000 + k % 59 * 100 + k % 100
+    return read(spark, d, "orders").select("o_orderkey", numbering.packed_datetime(day, time).alias("moment"))
+
+
+@register("SELECT o_orderkey, printf('%02d:%02d:%02d', k // 3600, k // 60 % 60, k % 60) AS time FROM (SELECT o_orderkey, CAST(o_orderkey % 86400 AS BIGINT) AS k FROM orders)")
+def time_texts(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", numbering.time_text(c("o_orderkey") % 86400).alias("time"))
+
+
+@register("SELECT doc_id, CASE WHEN strpos(text, ' ') > 0 THEN substr(text, 1, strpos(text, ' ') - 1) ELSE text END AS head, CASE WHEN strpos(text, ' ') > 0 THEN substr(text, strpos(text, ' ') + 1) ELSE '' END AS tail FROM documents")
+def split_texts(spark, d):
+    return read(spark, d, "documents").select("doc_id", numbering.split_first(c("text"), " ").alias("at")).select("doc_id", "at.head", "at.tail")
+
+
+@register("SELECT doc_id, regexp_replace(text || chr(7) || chr(9) || chr(31) || '.', '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') AS text FROM documents")
+def printable_texts(spark, d):
+    return read(spark, d, "documents").select("doc_id", numbering.printable(F.concat("text", F.lit("\x07\t\x1f."))).alias("text"))
+
+
+@register("SELECT c_custkey, CAST(i AS INTEGER) AS at, CAST(CASE WHEN i < c_custkey % 4 THEN c_nationkey ELSE c_custkey END AS INTEGER) AS value FROM (SELECT *, unnest(range(CAST(c_custkey % 4 + 2 AS BIGINT))) AS i FROM customer)")
+def run_sizes(spark, d):
+    run = lambda times, value: F.struct(times.cast("int").alias("times"), value.cast("int").alias("value"))
+    given = read(spark, d, "customer").withColumn("runs", F.array(run(c("c_custkey") % 4, c("c_nationkey")), run(F.lit(2), c("c_custkey"))))
+    return ranges.runs_to_rows(given, "runs", ["c_custkey"])
+
+
+@register("""SELECT COALESCE(l_orderkey, o_orderkey) AS row, COALESCE(l_linenumber, col) AS col, l_quantity AS value, o_orderpriority AS style
+FROM (SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber, l_quantity FROM lineitem) FULL OUTER JOIN (SELECT o_orderkey, o_orderpriority, CAST(unnest(range(2, CAST(3 + o_orderkey % 4 AS BIGINT))) AS INTEGER) AS col FROM orders) ON l_orderkey = o_orderkey AND l_linenumber = col""")
+def style_cells(spark, d):
+    styles = read(spark, d, "orders").select(c("o_orderkey").alias("row"), F.lit(2).alias("c0"), (2 + c("o_orderkey") % 4).cast("int").alias("c1"), c("o_orderpriority").alias("style"))
+    cells = read(spark, d, "lineitem").select(c("l_orderkey").alias("row"), c("l_linenumber").cast("int").alias("col"), c("l_quantity").alias("value"))
+    return ranges.merged_runs(styles, cells, ["row"]).select("row", "col", "value", "style")
+
+
+@register("SELECT c_custkey, c_nationkey AS n_nationkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def linked_cells(spark, d):
+    cells = read(spark, d, "customer").select("c_custkey", c("c_nationkey").alias("n_nationkey"))
+    return names.linked(cells, read(spark, d, "nation").select("n_nationkey", "n_name"), ["n_nationkey"])
+
+
+@register('SELECT n_nationkey AS "Key", n_name AS "Country" FROM nation')
+def label_ranges(spark, d):
+    return names.labelled(read(spark, d, "nation").select("n_nationkey", "n_name"), {"n_nationkey": "Key", "n_name": "Country"})
+
+
+@register("SELECT c_custkey, c_acctbal > 0 AS visible, c_custkey % 2 = 0 AS scenario FROM customer WHERE c_acctbal > 0 AND c_custkey % 2 = 0")
+def sheet_flags(spark, d):
+    sheets = read(spark, d, "customer").select("c_custkey", (c("c_acctbal") > 0).alias("visible"), (c("c_custkey") % 2 == 0).alias("scenario"))
+    return names.sheet_attributes(sheets, scenario=True)
