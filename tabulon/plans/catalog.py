@@ -5,34 +5,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import formats, formula, numbering
 from tabulon.functions.formula import FUNCTIONS, compile_text
 from tabulon.operators import emit, lookup, matrix, names, query, ranges, text
+from tabulon.plans import files  # noqa: F401  registers its queries
+from tabulon.plans.registry import QUERIES, SQL, read, register  # noqa: F401
 from tabulon.plans.specs import Dimension, Entry, Group, Key, Pilot, Query, Rule, Sort, Subtotal
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def register(sql: str | None = None) -> Callable:
-    def keep(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 c = F.col
 
 
@@ -529,7 +511,10 @@ def html_text(spark, d):
     return emit.html(read(spark, d, "conversations"), ["conv_id"], "turn")
 
 
-@register()
+@register("""WITH r AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS i, [CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR)] AS t FROM nation), k AS (SELECT *, unnest([0, 1, 2]) AS j FROM r),
+m AS (SELECT 1 AS seq, 'startDocument()' AS line UNION ALL SELECT 2, '  openSheet()' UNION ALL SELECT 3 + 11 * i, '    openSheetRow()' FROM r UNION ALL SELECT 4 + 11 * i + 3 * j, '      openSheetCell(librevenge:column: ' || j || ', librevenge:row: ' || i || ')' FROM k
+UNION ALL SELECT 5 + 11 * i + 3 * j, '        insertText(text: ' || t[j + 1] || ')' FROM k UNION ALL SELECT 6 + 11 * i + 3 * j, '      closeSheetCell()' FROM k UNION ALL SELECT 13 + 11 * i, '    closeSheetRow()' FROM r
+UNION ALL SELECT 3 + 11 * count(*), '  closeSheet()' FROM r UNION ALL SELECT 4 + 11 * count(*), 'endDocument()' FROM r) SELECT 'nation' AS doc, CAST(seq AS INTEGER) AS seq, line FROM m""")
 def event_trace(spark, d):
     cells = ranges.to_cells(read(spark, d, "nation"), ["n_nationkey"]).withColumn("doc_id", F.lit("nation"))
     return emit.trace_lines(emit.sheet_trace(cells))
